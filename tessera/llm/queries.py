@@ -57,6 +57,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import jaccard
+
+    out = jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontaminate
 
@@ -83,7 +90,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op4_license_scans, op5_toxicity, op8_decontamination, op9_secret_scans, op10_bpe)
+    f.__name__: f for f in (op3_sharding, op4_license_scans, op5_toxicity, op6_ngram_jaccard_join, op8_decontamination, op9_secret_scans, op10_bpe)
 }
 
 

@@ -13,15 +13,15 @@ evidence is the weighted sum over its clauses, with weights fitted by logistic r
 bounded sample of labelled rows, and the score is a logistic function of it. Isolated words score less than clauses that
 aim at someone, and quoted or denied ones less again.
 
-The sample: at most `sample` labelled training rows, those of smallest hash. Words strongly tied to the toxic label in it
-join the insult class. Texts are scored in one narrow pass. Null and empty texts get the score of no evidence. Repeated
+The sample: at most `sample` labelled training rows, those of smallest hash. Stems strongly tied to the toxic
+label in it join the insult class. Texts are scored in one narrow pass. Null and empty texts get the score of no evidence. Repeated
 rows get a row each. Without labelled rows the hand-set weights stand.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,9 +56,9 @@ _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _SPLIT = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
 
 
-def lexicon(learned: tuple[str, ...] = ()) -> dict[bytes, int]:
+def lexicon() -> dict[bytes, int]:
     out: dict[bytes, int] = {}
-    for kind, group in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, [*learned, *INSULT])):
+    for kind, group in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT)):
         out |= {w.encode(): kind for w in group}
     return out
 
@@ -97,41 +97,92 @@ def clause_matches(classes: list[int]) -> list[int]:
     return out + [f for _, f in pending]
 
 
-def features(text: bytes, classes: dict[bytes, int], triggers: frozenset[bytes]) -> list[int]:
-    """Number of matches by feature over all clauses of the text."""
-    out = [0] * len(PRIOR)
-    if triggers.isdisjoint(text.translate(_SPLIT).split()):
+class Grammar:
+    """The lexicon with learned stems, and the transducers over it."""
+
+    def __init__(self, stems: tuple[str, ...] = ()):
+        self.words = lexicon()
+        self.stems = {w.encode() for w in stems}
+        self.lengths = sorted({len(w) for w in self.stems})
+        self.triggers = frozenset(w for w, k in self.words.items() if k in (INSULTS, THREATS))
+
+    def kind(self, word: bytes) -> int:
+        return self.words.get(word, 0) or (INSULTS if any(word[:n] in self.stems for n in self.lengths) else 0)
+
+    def features(self, text: bytes) -> list[int]:
+        """Number of matches by feature over all clauses of the text."""
+        out = [0] * len(PRIOR)
+        words = set(text.translate(_SPLIT).split())
+        if self.triggers.isdisjoint(words) and all(self.stems.isdisjoint({w[:n] for w in words}) for n in self.lengths):
+            return out
+        kinds = {w: self.kind(w) for w in words}
+        for clause in _CLAUSE.split(text.translate(_LOWER)):
+            for f in clause_matches([kinds[w] for w in _WORD.findall(clause)]):
+                out[f] += 1
         return out
-    for clause in _CLAUSE.split(text.translate(_LOWER)):
-        for f in clause_matches([classes.get(w, 0) for w in _WORD.findall(clause)]):
-            out[f] += 1
-    return out
 
 
 def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, features array<int>) of every row; `__text` too."""
-    classes = lexicon(learned)
-    triggers = frozenset(w for w, k in classes.items() if k in (INSULTS, THREATS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(learned)
         for batch in pieces(batches, "__text"):
-            found = [features(t, classes, triggers) for t in byte_texts(batch.column("__text"))]
+            found = [grammar.features(t) for t in byte_texts(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], [id_col, "features"])
 
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, features array<int>")
 
 
-def learned_words(rows: DataFrame, least: int = 6, ratio: float = 25.0) -> tuple[str, ...]:
-    """Words that at least `least` toxic rows of the sample hold, and `ratio` times the share of other rows."""
-    total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    toxic, clean = float(total.t or 0), float((total.n or 0) - (total.t or 0))
-    if not toxic or not clean:
+def stems_of(text: bytes) -> set[bytes]:
+    """Words of 4 bytes and more, and their beginnings of 4 to 9 bytes that end with a character."""
+    words = {w for w in text.translate(_SPLIT).split() if len(w) >= 4}
+    return words | {w[:n] for w in words for n in range(4, min(len(w), 10)) if w[n] & 0xC0 != 0x80}
+
+
+def learned_stems(rows: DataFrame, least: int = 4, ratio: float = 25.0) -> tuple[str, ...]:
+    """Stems that toxic rows of the sample hold and others do not: the fewest that cover most of them, taken greedily.
+
+    The texts of the sample's toxic rows come to the driver; their number is bounded by the sample.
+    """
+    toxic = [stems_of(bytes(r.text, "utf-8")) for r in rows.where("toxic > 0").select("text").distinct().collect()]
+    clean = rows.where("toxic <= 0").select("text").distinct()
+    seen: Counter[bytes] = Counter()
+    for stems in toxic:
+        seen.update(stems)
+    wanted = frozenset(w for w, n in seen.items() if n >= least)
+    if not wanted:
         return ()
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0))))
-    by = rows.select(word.alias("w"), "toxic").groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    return tuple(sorted(r.w for r in by.where((F.col("t") >= least) & (odds >= ratio)).select("w").collect()))
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[bytes] = Counter()
+        n = 0
+        for batch in pieces(batches, "text"):
+            for text in byte_texts(batch.column("text")):
+                n += 1
+                total.update(stems_of(text) & shared.value)
+        total[b""] = n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
+
+    held = {bytes(r.w): r.n for r in clean.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    others = held.pop(b"", 0)
+    odds = lambda w: (seen[w] + 0.5) / (len(toxic) + 1) * (others + 1) / (held.get(w, 0) + 0.5)
+    left = [s & {w for w in s & wanted if odds(w) >= ratio} for s in toxic]
+    out = []
+    while left:
+        gain: Counter[bytes] = Counter()
+        for stems in left:
+            gain.update(stems)
+        if not gain:
+            break
+        best, n = max(gain.items(), key=lambda x: (x[1], len(x[0]), x[0]))
+        if n < least:
+            break
+        out.append(best.decode())
+        left = [s for s in left if best not in s]
+    return tuple(sorted(out))
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.02) -> tuple[np.ndarray, float]:
@@ -149,13 +200,13 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.02) -> tuple[np.ndarray, f
     return np.maximum(w[:-1], 0), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple[str, ...], np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple[str, ...], np.ndarray, float]:
     """Learned insult words, weights and bias from at most `sample` labelled rows among those where `usable` holds."""
     chosen = labels.where("toxic is not null").where(usable).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).persist()
     try:
-        learned = learned_words(rows)
+        learned = learned_stems(rows)
         seen = with_features(rows, learned, "__id").join(F.broadcast(chosen), "__id").groupBy("features", "toxic").count().collect()
     finally:
         rows.unpersist()
@@ -175,7 +226,3 @@ def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray, float], id_
     for k, w in enumerate(weights):
         evidence = evidence + F.log1p(F.get("features", F.lit(k)).cast("double")) * float(w)
     return found.select(id_col, "features", (1 / (1 + F.exp(-evidence))).alias("score"))
-
-
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
