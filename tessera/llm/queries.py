@@ -30,6 +30,21 @@ def sha(text):
     return F.sha2(text, 256)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import suffixes
+
+    out = suffixes.dedup(table(spark, sf_dir, "documents"), least=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha("kept").alias("kept_sha256"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import vectors
+
+    codes = vectors.index(table(spark, sf_dir, "embeddings"))
+    return vectors.search(codes, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import shards
 
@@ -90,7 +105,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op4_license_scans, op5_toxicity, op6_ngram_jaccard_join, op8_decontamination, op9_secret_scans, op10_bpe)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_sharding, op4_license_scans, op5_toxicity, op6_ngram_jaccard_join, op8_decontamination, op9_secret_scans, op10_bpe)
 }
 
 
