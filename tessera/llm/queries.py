@@ -79,6 +79,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, lm.train(docs, ~held_out(7)))
+    return out.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontaminate
 
@@ -105,7 +113,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_sharding, op4_license_scans, op5_toxicity, op6_ngram_jaccard_join, op8_decontamination, op9_secret_scans, op10_bpe)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_sharding, op4_license_scans, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_decontamination, op9_secret_scans, op10_bpe)
 }
 
 
