@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.shared import pieces
 
@@ -162,18 +163,19 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
-def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every row; a null text is empty. Other columns are not carried.
+def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns named in `keep`, ids array<int>, decoded string) of every row; a null text is empty.
 
     Empty table: empty result. Repeated rows: one result row each. `file` must exist on every executor.
     """
-    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    kept = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
+    fields = T.StructType([*kept.schema.fields[1:], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(file)
         for batch in pieces(batches, "__text", 2 << 20):
             ids = bpe.encode_all([t or "" for t in batch.column("__text").to_pylist()])
             texts = pa.array([bpe.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(ids), texts], [id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], id_lists(ids), texts], fields.names)
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return kept.mapInArrow(run, fields)

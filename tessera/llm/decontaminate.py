@@ -94,13 +94,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """(id, n_words long, spans of hit words, items array<string>, sorted) of every row of `docs`, and its text as __text."""
+def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns named in `keep`, n_words long, spans of hit words, items array<string>, sorted) of every row of `docs`."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("t")).where("t is not null").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     kind = out.schema
     for k in range(blocks):
         block = [(r.item, bytes(r.t, "utf-8")) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).toLocalIterator()]
@@ -122,10 +122,10 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
                     all_spans.append([{"start": a, "end": b} for a, b in new])
                     all_items.append(sorted(ids | set(found or ())))
                 arrays = [pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(all_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], [id_col, "__text", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], kind.names)
 
         out = out.mapInArrow(run, kind)
-    return out
+    return out.drop("__text")
 
 
 def hit_words(spans: str = "spans"):

@@ -290,6 +290,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     return out.select("rid", id_col, "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(id_col))).alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of `docs` with the smallest id of their group; of rows that repeat each other one stays."""
+    groups = join(docs, n, percent, **options)
+    chosen = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("rid", F.coalesce("component_id", "rid").alias("g"))
+    one = chosen.groupBy("g").agg(F.min("rid").alias("__rid")).select("__rid")
+    rows = docs.withColumn("__rid", row_key())
+    return rows.join(one.hint("shuffle_hash"), "__rid", "left_semi").dropDuplicates(["__rid"]).select(docs.columns)
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, sets = None, [], []

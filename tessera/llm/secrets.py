@@ -93,7 +93,24 @@ def extend(ledger_path: str, docs: DataFrame, rules: str = RULES_VERSION) -> Dat
     return spark.read.schema(schema).parquet(ledger_path)
 
 
-def redacted(text, found) -> str:
+def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """All columns of `docs`, with the findings in the text replaced by a mark. A null text stays null."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    found = findings(docs, keep=rest, **options).drop("blob")
+    at = found.columns.index(text_col)
+    fields = docs.select("doc_id", *rest).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [t if t is None or not f else redacted(t, f) for t, f in zip(batch.column(at).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = [c for k, c in enumerate(batch.columns) if k != 1]
+            columns[at - 1] = pa.array(new, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, fields.names)
+
+    return found.mapInArrow(run, fields).select(docs.columns)
+
+
+def redacted(text: str, found: list[dict]) -> str:
     """The text with each found span replaced by a mark; overlapping spans share one."""
     out, at = [], 0
     for f in sorted(found, key=lambda f: (f["start"], -f["end"])):

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.shared import byte_texts, pieces
 
@@ -122,17 +123,18 @@ class Grammar:
         return out
 
 
-def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features array<int>) of every row; `__text` too."""
+def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns named in `keep`, features array<int>) of every row."""
+    kept = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
+    fields = T.StructType([*kept.schema.fields[1:], T.StructField("features", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
         for batch in pieces(batches, "__text"):
             found = [grammar.features(t) for t in byte_texts(batch.column("__text"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], [id_col, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], fields.names)
 
-    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, features array<int>")
+    return kept.mapInArrow(run, fields)
 
 
 def stems_of(text: bytes) -> set[bytes]:
@@ -218,11 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 8000
     return learned, weights, bias
 
 
-def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features, score double in 0 to 1) of every row."""
+def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns named in `keep`, features, score double in 0 to 1) of every row."""
     learned, weights, bias = model
-    found = with_features(docs, learned, id_col, text_col)
+    found = with_features(docs, learned, id_col, text_col, keep)
     evidence = F.lit(float(bias))
     for k, w in enumerate(weights):
         evidence = evidence + F.log1p(F.get("features", F.lit(k)).cast("double")) * float(w)
-    return found.select(id_col, "features", (1 / (1 + F.exp(-evidence))).alias("score"))
+    return found.select(id_col, *keep, "features", (1 / (1 + F.exp(-evidence))).alias("score"))
