@@ -14,7 +14,7 @@ about 1 / (2 * (1-t)) shingles, so sets that share only a passage or common word
    the sets in a common order (most frequent member first, so that paths are shared). Breadth-first from each set, the
    trie is walked with running overlaps; a subtree is left when what remains cannot reach the threshold or when all its
    sets are already linked. Overlaps are exact, so links are exactly those of the definition.
-4. A candidate component of more than `block` nodes is cut into blocks and each pair of blocks becomes a group of its
+4. A candidate component of more than `block` nodes (or MEMBERS times as many shingles) is cut into blocks and each pair of blocks becomes a group of its
    own; links of all pairs are then joined to components. No group is unbounded and no pair is lost.
 
 Null and empty texts have the empty set, which links with nothing. Repeated rows share their node. Extra columns of the
@@ -40,6 +40,10 @@ from tessera.llm.shared import U64, as_long, durable, mix, pieces, row_key, salt
 CLASS_RATIO = 1.5
 #: Rows that a task gathers before it publishes them.
 GATHER = 1 << 21
+#: Buckets of the counts that rule out pairs; members on one edge of a trie, so that long edges are left early.
+SKETCH, EDGE = 512, 48
+#: Members of a set on average at which a block is full.
+MEMBERS = 1000
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +167,7 @@ class Trie:
                 to = bisect_right(order, first, lo, hi, key=lambda i, d=depth: sets[i][d])
                 a, b = sets[order[lo]], sets[order[to - 1]]
                 end = depth + 1
-                while end < len(a) and end < len(b) and a[end] == b[end]:
+                while end < len(a) and end < len(b) and a[end] == b[end] and end - depth < EDGE:
                     end += 1
                 sizes = [len(sets[i]) for i in order[lo:to]]
                 node = [frozenset(a[depth:end]), a[end - 1], [], [], min(sizes), max(sizes), to - lo, parent]
@@ -200,8 +204,47 @@ class Trie:
         return found
 
 
+def near(sets: list[np.ndarray], percent: int) -> list[list[int]]:
+    """Parts of the sets such that no link joins two parts.
+
+    Members are counted in SKETCH buckets by hash. The differences of two sets' counts add up to no more than the number
+    of members in which the sets differ, so pairs above what the threshold allows cannot be links.
+    """
+    n = len(sets)
+    if n < 3:
+        return [list(range(n))]
+    counts = np.zeros((n, SKETCH), np.int32)
+    for i, s in enumerate(sets):
+        counts[i] = np.bincount((s & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    sizes = np.array([len(s) for s in sets])
+    left = np.arange(n)
+    parts = []
+    while len(left):
+        part, todo = [int(left[0])], [int(left[0])]
+        left = left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            differ = np.concatenate([np.abs(counts[left[k : k + 512]] - counts[i]).sum(axis=1) for k in range(0, len(left), 512)])
+            on = differ * (100 + percent) <= (100 - percent) * (sizes[left] + sizes[i])
+            found = left[on].tolist()
+            part += found
+            todo += found
+            left = left[~on]
+        parts.append(part)
+    return parts
+
+
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the first set of its component, over all pairs that reach the threshold."""
+    root = list(range(len(sets)))
+    for part in near(sets, percent):
+        if len(part) > 1:
+            for i, r in zip(part, _linked([sets[i] for i in part], percent), strict=True):
+                root[i] = part[r]
+    return root
+
+
+def _linked(sets: list[np.ndarray], percent: int) -> list[int]:
     seen: Counter[int] = Counter()
     for s in sets:
         seen.update(s.tolist())
@@ -271,11 +314,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     all_nodes = nodes(docs, n, id_col, text_col)
     chance = components(candidates(docs, n, percent, text_col))
     chance = durable(chance, "candidates")
-    sizes = chance.groupBy("root").agg(F.count("*").alias("size"))
-    first = all_nodes.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"))
-    cut = F.ceil(F.col("size") / block).cast("int")
+    first = all_nodes.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("size"))
+    chance = chance.join(first, "node")
+    sizes = chance.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("members"))
+    cut = F.ceil(F.greatest(F.col("sets") / block, F.col("members") / (block * MEMBERS))).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    chosen = chance.join(sizes, "root").withColumn("blocks", cut).withColumn("mine", mine).join(first, "node")
+    chosen = chance.join(sizes, "root").withColumn("blocks", cut).withColumn("mine", mine)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
     texts = docs.select(row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     moved = texts.join(chosen.select("rid", "node", "root", pairs.alias("pairs")).hint("shuffle_hash"), "rid")
