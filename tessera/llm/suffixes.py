@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import U64, as_long, byte_texts, byte_values, durable, mix, pieces, powers, prefix_hash, row_key, salt, text_bytes
 
 #: Bytes handled at once, and rows that a task gathers before it counts them.
-SLICE, GATHER = 4 << 20, 1 << 21
+SLICE, GATHER = 1 << 20, 1 << 19
 MOST_BITS = 28
 
 
@@ -100,7 +100,7 @@ def _cores(least: int):
             arrays = [as_long(core[start]), as_long(span[start]), as_long(span[stop - 1]), stop - start]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["core", "low", "high", "n"])
 
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", SLICE):
             for _, _, _, core, span, _, _ in blocks.of(*text_bytes(batch.column("__text"))):
                 held.append((core, span))
                 size += len(core)
@@ -147,8 +147,13 @@ def _set(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _where(first: np.ndarray, last: np.ndarray, sure) -> np.ndarray:
+    """First start, whether it is known to repeat, and number of further starts, in one number."""
+    return (first << 21) | (np.asarray(sure).astype(np.int64) << 20) | (last - first)
+
+
 def _strings(least: int, tables):
-    """Digits 3 and 4 of the blocks that go on: (key, n, rid, first, last). n = 2: known to repeat within the task."""
+    """Digits 3 and 4 of the blocks that go on: (key, rid, place); see _where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, equal, mixed = tables.value
@@ -166,17 +171,15 @@ def _strings(least: int, tables):
             sure = np.flatnonzero(many)
             order = np.lexsort((first[sure], rid[sure]))
             r, a, b = rid[sure][order], first[sure][order], last[sure][order]
-            new = np.append(True, (r[1:] != r[:-1]) | (a[1:] > b[:-1] + 1))[: len(r)]
+            new = np.append(True, (r[1:] != r[:-1]) | (a[1:] > b[:-1] + 1) | (a[1:] >> 18 != a[:-1] >> 18))[: len(r)]
             run_at = np.flatnonzero(new)
             ends = np.maximum.reduceat(b, run_at) if len(r) else b
             own = mix(r[run_at].view(U64) + a[run_at].astype(U64) * salt(24))
-            columns = [
-                np.concatenate([as_long(key[k]), as_long(own)]), np.concatenate([1 + many[k].astype(np.int64), np.full(len(own), 2)]),
-                np.concatenate([rid[k], r[run_at]]), np.concatenate([first[k], a[run_at]]), np.concatenate([last[k], ends]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "n", "rid", "first", "last"])
+            at = np.concatenate([_where(first[k], last[k], many[k]), _where(a[run_at], ends, True)])
+            columns = [np.concatenate([as_long(key[k]), as_long(own)]), np.concatenate([rid[k], r[run_at]]), at]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "rid", "at"])
 
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", SLICE):
             data, offsets = text_bytes(batch.column("__text"))
             rids = np.asarray(batch.column("rid"))
             for t, p1, p2, core, span, string, lo in blocks.of(data, offsets):
@@ -205,8 +208,11 @@ def repeats(docs: DataFrame, least: int = 400, text_col: str = "text", id_col: s
     cores = texts.select("__text").mapInArrow(_cores(least), "core long, low long, high long, n long")
     groups = cores.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("n > 1").select("core", "low", "high")
     tables = spark.sparkContext.broadcast(_bit_tables(durable(groups, "cores")))
-    rows = texts.mapInArrow(_strings(least, tables), "key long, n long, rid long, first long, last long")
-    return rows.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1").select("rid", "first", "last")
+    rows = texts.mapInArrow(_strings(least, tables), "key long, rid long, at long")
+    sure = F.shiftright("at", 20).bitwiseAND(1)
+    found = rows.withColumn("all", F.sum(sure + 1).over(Window.partitionBy("key"))).where("all > 1")
+    first = F.shiftright("at", 21)
+    return found.select("rid", first.alias("first"), (first + F.col("at").bitwiseAND((1 << 20) - 1)).alias("last"))
 
 
 def dedup(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +224,7 @@ def dedup(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: s
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", SLICE):
             size, removed, kept = [], [], []
             for text, runs in zip(byte_texts(batch.column("__text")), batch.column("runs").to_pylist(), strict=True):
                 spans: list[list[int]] = []
