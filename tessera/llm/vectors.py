@@ -3,8 +3,8 @@
 A vector is normalised, turned by one random rotation (fixed by a seed) and kept as the signs of its coordinates, packed
 into bits, with two numbers: its norm and the inner product of the turned unit vector with its code. From them the inner
 product with a query is estimated without bias, and the error is at most `spread` * sqrt((1 - c**2) / (c**2 * (d - 1)))
-times both norms with high probability, c being that inner product. Of each batch of vectors only those are reranked
-whose upper bound reaches the k-th best lower bound seen for the query; reranking uses the original vectors in double
+times both norms with high probability, c being that inner product. Of each batch of vectors the best guesses are
+reranked first, then those whose upper bound reaches the k-th best score so far; reranking uses the original vectors in double
 precision, so scores are exact and ties go to the smaller id.
 
 Queries are a stated set, taken in blocks of at most `block` rows (what a broadcast holds is bounded). Every task keeps
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a task taken at once, and queries compared with them at once.
 ROWS, WIDE = 4096, 256
+#: Pairs scored at once.
+PAIRS = 1 << 15
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -64,7 +66,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return kept.mapInArrow(run, f"`{id_col}` long, vector array<double>, code binary, norm double, agreement double")
 
 
-def search(codes: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", seed: int = 7, spread: float = 3.5, block: int = 8192) -> DataFrame:
+def search(codes: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", seed: int = 7, spread: float = 2.5, block: int = 8192) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest found for every row of the index where `is_query` holds."""
     spark = codes.sparkSession
     chosen = codes.where(is_query).select(id_col, "vector")
@@ -91,6 +93,23 @@ def _nearest(shared, k: int, seed: int, spread: float, id_col: str):
         turned = (q @ rotation(d, seed).T).astype(np.float32)
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(n)]
         floor = np.full(n, -np.inf)
+
+        def rerank(lo: int, chosen: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+            """Exact scores of the chosen pairs, merged into the best of their queries."""
+            who, what = np.nonzero(chosen)
+            score = np.empty(len(who))
+            for i in range(0, len(who), PAIRS):
+                score[i : i + PAIRS] = np.einsum("ij,ij->i", q[lo + who[i : i + PAIRS]], x[what[i : i + PAIRS]])
+            cuts = np.searchsorted(who, np.arange(len(chosen) + 1)).tolist()
+            for j in np.unique(who).tolist():
+                a, b = cuts[j], cuts[j + 1]
+                s = np.concatenate([best[lo + j][0], score[a:b]])
+                i = np.concatenate([best[lo + j][1], own[what[a:b]]])
+                order = np.lexsort((i, -s))[:k]
+                best[lo + j] = (s[order], i[order])
+                if len(order) == k:
+                    floor[lo + j] = s[order[-1]]
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -106,23 +125,13 @@ def _nearest(shared, k: int, seed: int, spread: float, id_col: str):
                     guess = (turned[lo:hi] @ signs.T) * scale
                     room = (norms[lo:hi, None] * slack).astype(np.float32)
                     guess[own[None, :] == ids[lo:hi, None]] = -np.inf
-                    if len(own) > k:  # the k-th best lower bound of this part, or the k-th best score so far
-                        bar = np.maximum(floor[lo:hi], -np.partition(-(guess - room), k - 1, axis=1)[:, k - 1])
-                    else:
-                        bar = floor[lo:hi]
-                    who, what = np.nonzero((guess + room >= bar[:, None]) & (guess > -np.inf))
-                    score = np.einsum("ij,ij->i", q[lo + who], x[what])
-                    cuts = np.searchsorted(who, np.arange(hi - lo + 1))
-                    for j in range(hi - lo):
-                        a, b = cuts[j], cuts[j + 1]
-                        if a == b:
-                            continue
-                        s = np.concatenate([best[lo + j][0], score[a:b]])
-                        i = np.concatenate([best[lo + j][1], own[what[a:b]]])
-                        order = np.lexsort((i, -s))[:k]
-                        best[lo + j] = (s[order], i[order])
-                        if len(order) == k:
-                            floor[lo + j] = s[order[-1]]
+                    todo = guess > -np.inf
+                    if len(own) > 2 * k:  # the best guesses first: their scores set the bar for the others
+                        first = np.zeros_like(todo)
+                        np.put_along_axis(first, np.argpartition(-guess, 2 * k, axis=1)[:, : 2 * k], True, 1)
+                        rerank(lo, first & todo, x, own)
+                        todo &= ~first
+                    rerank(lo, todo & (guess + room >= floor[lo:hi, None]), x, own)
         counts = [len(s) for s, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.concatenate([i for _, i in best]) if n else ids, pa.int64()), pa.array(np.concatenate([s for s, _ in best]) if n else norms)], ["query_id", id_col, "score"])
 
