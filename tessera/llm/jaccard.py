@@ -2,14 +2,15 @@
 
 Texts become sets of 64-bit shingle hashes, ordered by hash. Equal sets are one node (grouped by a hash of the set), so
 copies are counted once. Two sets A, B with similarity t or more differ in at most D = (1-t)/(1+t) * (|A|+|B|) members.
-The hash order is cut into D + 2 segments: at least two of them are equal in both sets, and a non-empty one among them
-is found by its hash (a set with so many empty segments that this could fail publishes those too). Equal segments are
-shared edges of the prefix trees; they are the only thing that is compared across the corpus, and each of them carries
-about 1 / (2 * (1-t)) shingles, so sets that share only a passage or common words do not meet.
-
-1. Every task publishes (segment hash, node) for its own texts, one row for each segment and task: the members it has
-   seen are linked to the smallest of them on the spot. So a segment that a third of all rows share is one row a task.
-2. Segments seen by several tasks link their nodes; components of these candidate links are formed.
+The hash order is cut into D + s segments: at least s of them are equal in both sets, and two of these that are not empty
+are found by their hashes (a set with more than s - 2 empty segments publishes those too). Equal
+segments are shared edges of the prefix trees; they are all that is compared across the corpus. Members that a share of
+all texts hold (the lines that every page has) are left out of the segments of all sets, which changes no argument above.
+
+1. Every task publishes (segment hash, node) for its own texts; where many of them have a segment, they are linked to the
+   smallest on the spot. So a segment that a third of all rows share is a few rows for each task.
+2. Nodes that share two segments are linked; components of these candidate links are formed. Segments of more nodes than
+   can be paired make a star of links.
 3. Texts of nodes with candidates only are brought together by candidate component. There a path-compressed trie holds
    the sets in a common order (most frequent member first, so that paths are shared). Breadth-first from each set, the
    trie is walked with running overlaps; a subtree is left when what remains cannot reach the threshold or when all its
@@ -40,6 +41,8 @@ from tessera.llm.shared import U64, as_long, durable, mix, pieces, row_key, salt
 CLASS_RATIO = 1.5
 #: Rows that a task gathers before it publishes them.
 GATHER = 1 << 21
+#: Nodes of a key that a task passes on one by one; twice as many are paired with each other, more become a star.
+FEW = 32
 #: Buckets of the counts that rule out pairs; members on one edge of a trie, so that long edges are left early.
 SKETCH, EDGE = 512, 48
 #: Members of a set on average at which a block is full.
@@ -95,12 +98,27 @@ class Segments:
             bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] * CLASS_RATIO)))
         self.bounds = np.array(bounds)  # class c: bounds[c] <= length < bounds[c + 1]
         self.differ = np.array([(100 - percent) * 2 * (b - 1) // (100 + percent) for b in bounds[1:]])
+        # segments over D: two, and as many as are likely to be empty in the shortest set of the class or its partners
+        self.spare = np.array([self._spare(int(d), percent / 100 * b) for d, b in zip(self.differ, bounds[:-1], strict=True)])
         # the shortest set that can have a different partner: L / (L + 1) must reach the threshold
         self.least = math.ceil(percent / (100 - percent) - 1e-9) if percent < 100 else top
 
-    def publish(self, h: np.ndarray, ends: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segment hashes and their nodes."""
+    @staticmethod
+    def _spare(differ: int, shortest: float) -> int:
+        spare = 3
+        for _ in range(30):
+            many = differ + spare
+            empty = many * math.exp(-shortest / many)
+            spare = min(max(3, math.ceil(2 + empty + 3 * empty**0.5)), 3 + differ // 2)
+        return spare
+
+    def publish(self, h: np.ndarray, ends: np.ndarray, nodes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segment hashes and their nodes; members in `common` (sorted) are left out of the segments."""
         sizes = np.diff(ends)
+        if len(common) and len(h):
+            rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+            h, ends = h[rare], np.concatenate([[0], np.cumsum(rare)])[ends]
+        kept = np.diff(ends)
         own = np.searchsorted(self.bounds, sizes, "right") - 1
         nxt = np.searchsorted(self.bounds, sizes * 100 // self.percent, "right") - 1
         keys, whose = [], []
@@ -108,23 +126,24 @@ class Segments:
             docs = np.flatnonzero(on)
             if not len(docs):
                 continue
-            length = sizes[docs]
+            length = kept[docs]
             at = np.repeat(ends[:-1][docs] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
             token, d = h[at], np.repeat(np.arange(len(docs)), length)
             differ = self.differ[classes[docs]]
-            many = (differ + 2).astype(U64)
+            spare = self.spare[classes[docs]]
+            many = (differ + spare).astype(U64)
             seg = ((token >> U64(32)) * many[d]) >> U64(32)
             start = np.ones(len(token), bool)
             start[1:] = (d[1:] != d[:-1]) | (seg[1:] != seg[:-1])
             start = np.flatnonzero(start)
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(token + salt(9)), dtype=U64)])
-            stop = np.append(start[1:], len(token))
+            stop = np.append(start[1:], len(token))[: len(start)]
             who, segment = d[start], seg[start]
             tag = mix(classes[docs].astype(U64) * salt(10) + salt(11))
             keys.append(mix(sums[stop] - sums[start] + mix(tag[who] + segment * salt(12))))
             whose.append(nodes[docs][who])
             filled = np.bincount(who, minlength=len(docs))
-            for k in np.flatnonzero(many.astype(np.int64) - filled >= 2):  # rare: empty segments could be all that is equal
+            for k in np.flatnonzero(many.astype(np.int64) - filled > spare - 2):  # rare: empty segments could be what is equal
                 empty = np.setdiff1d(np.arange(int(many[k]), dtype=U64), segment[who == k])
                 keys.append(mix(mix(tag[k] + empty * salt(12))))
                 whose.append(np.full(len(empty), nodes[docs[k]]))
@@ -134,16 +153,23 @@ class Segments:
 
 
 def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each key (its smallest node); further nodes of a key are tied to that one by a key of their own."""
+    """One row for each key and node. Of more than FEW nodes of a key only the smallest stays, and each other one is tied
+    to it by two keys of their own."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[fresh], nodes[fresh]
     start = np.ones(len(keys), bool)
     start[1:] = keys[1:] != keys[:-1]
-    low = nodes[start][np.cumsum(start) - 1]
-    other = nodes != low
+    group = np.cumsum(start) - 1
+    low = nodes[start][group] if len(keys) else nodes
+    hot = np.bincount(group)[group] > FEW if len(keys) else start
+    other = hot & ~start
     x = np.unique(np.stack([nodes[other], low[other]]), axis=1) if other.any() else np.zeros((2, 0), U64)
-    tie = mix(x[0] * salt(13) + mix(x[1] + salt(14)))
-    return np.concatenate([keys[start], tie, tie]), np.concatenate([nodes[start], x[0], x[1]])
+    ties = [mix(x[0] * salt(k) + mix(x[1] + salt(k + 1))) for k in (13, 15)]
+    keep = ~other
+    return np.concatenate([keys[keep], ties[0], ties[0], ties[1], ties[1]]), np.concatenate([nodes[keep], x[0], x[1], x[0], x[1]])
 
 
 class Trie:
@@ -279,9 +305,41 @@ def nodes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text
     return durable(kept.mapInArrow(run, f"rid long, `{id_col}` {kept.schema[1].dataType.simpleString()}, n_shingles long, node long"), "nodes")
 
 
+def common_shingles(docs: DataFrame, n: int, share: float = 0.002, text_col: str = "text") -> np.ndarray:
+    """Hashes of shingles that about `share` of all texts or more hold: at most (mean set size / share) of them.
+
+    Tasks count among every few thousand of their own texts and name what is common there; the counts are then added up.
+    Which shingles are named affects cost only, never which pairs are found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, count = np.unique(np.concatenate(held), return_counts=True)
+            on = count >= max(6, share * texts)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(as_long(h[on]), 0)), pa.array(np.append(count[on], 0)), pa.array(np.append(np.zeros(on.sum(), np.int64), texts))], ["h", "n", "texts"])
+
+        for batch in pieces(batches, "__text"):
+            held.append(shingle_sets(batch.column("__text"), n)[0])
+            texts += batch.num_rows
+            if sum(map(len, held)) >= GATHER and texts >= 2000:
+                yield out()
+                held, texts = [], 0
+        if texts:
+            yield out()
+
+    rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "h long, n long, texts long")
+    found = durable(rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "common")
+    total = found.agg(F.sum("texts")).first()[0] or 0
+    kept = found.where((F.col("n") >= max(30, share * total)) & (F.col("h") != 0)).select("h").toArrow()["h"].to_numpy()
+    return np.sort(kept.astype(np.int64).view(U64))
+
+
 def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between nodes that share a segment; every pair that reaches the threshold is connected by them."""
+    """Edges (a, b) between nodes that share two segments; every pair that reaches the threshold is connected by them."""
     segments = Segments(percent)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, whose, held = [], [], 0
@@ -292,7 +350,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
 
         for batch in pieces(batches, "__text"):
             h, ends = shingle_sets(batch.column("__text"), n)
-            k, w = segments.publish(h, ends, set_nodes(h, ends))
+            k, w = segments.publish(h, ends, set_nodes(h, ends), common.value)
             keys.append(k)
             whose.append(w)
             held += len(k)
@@ -303,9 +361,12 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
             yield out()
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long")
-    by = rows.groupBy("key").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    pairs = by.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
-    return pairs.distinct()
+    by = rows.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    few = F.size("nodes") <= 2 * FEW
+    rest = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.when(few, F.slice("nodes", i + 2, 2 * FEW)).otherwise(F.array().cast("array<long>")).alias("b")))
+    star = F.array(F.struct(F.get("nodes", F.lit(0)).alias("a"), F.slice("nodes", 2, F.size("nodes")).alias("b")))
+    pairs = by.select(F.explode(F.when(few, rest).otherwise(star)).alias("p"), F.when(few, 1).otherwise(2).alias("w")).select("p.a", F.explode("p.b").alias("b"), "w")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 2000) -> DataFrame:
