@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,7 +95,8 @@ class ForcedBoundaryBPE:
         raw = np.frombuffer(data, np.uint8)
         cut = np.ones(len(raw) + 1, bool)
         cut[1:-1] = self.forced[raw[:-1], raw[1:]]
-        cut[np.cumsum([len(p.encode()) for p in parts])] = True
+        sizes = lambda xs: np.fromiter(map(len, xs if data.isascii() else map(str.encode, xs)), np.int64, len(xs))
+        cut[np.cumsum(sizes(parts))] = True
         ends = np.flatnonzero(cut)
         at = ends.tolist()
         fragments = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
@@ -102,12 +104,12 @@ class ForcedBoundaryBPE:
         if len(self.short) + len(fresh) > 2 * KEPT:
             self.short.clear()
             fresh = list(set(fragments))
-        coded = self.alone.encode_batch([f.decode("latin-1").translate(self.letters) for f in fresh], add_special_tokens=False)
-        self.short.update((f, np.array(e.ids, np.int32).tobytes()) for f, e in zip(fresh, coded, strict=True))
-        ids = [self.short[f] for f in fragments]
+        coded = self.alone.encode_batch_fast([f.decode("latin-1").translate(self.letters) for f in fresh], add_special_tokens=False)
+        self.short.update(zip(fresh, [array("i", e.ids).tobytes() for e in coded], strict=True))
+        ids = list(map(self.short.__getitem__, fragments))
         stops = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum([len(x) for x in ids], out=stops[1:])
-        stops = stops[np.searchsorted(ends, np.cumsum([0, *[len(c.encode()) for c in chunks]]))].tolist()
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=stops[1:])
+        stops = stops[np.searchsorted(ends, np.append(0, np.cumsum(sizes(chunks))))].tolist()
         flat = b"".join(ids)
         return {c: flat[i:j] for c, i, j in zip(chunks, stops, stops[1:], strict=False)}
 
@@ -144,6 +146,10 @@ class ForcedBoundaryBPE:
         first, *rest = self.cut.split(text)
         return [first, *[" " + c for c in rest]]
 
+    def forget(self) -> None:
+        """Free the tables: the worker may go on with other work."""
+        self.known, self.older, self.short = {}, {}, {}
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -177,5 +183,6 @@ def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
             ids = bpe.encode_all([t or "" for t in batch.column("__text").to_pylist()])
             texts = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], id_lists(ids), texts], fields.names)
+        bpe.forget()
 
     return kept.mapInArrow(run, fields)
