@@ -152,9 +152,9 @@ class Segments:
         return np.concatenate(keys), np.concatenate(whose)
 
 
-def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each key and node. Of more than FEW nodes of a key only the smallest stays, and each other one is tied
-    to it by two keys of their own."""
+def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each key and node. Of more than FEW nodes of a key only the smallest stays, marked as standing for
+    many, and each other one is tied to it by two keys of their own."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), bool)
@@ -169,7 +169,8 @@ def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x = np.unique(np.stack([nodes[other], low[other]]), axis=1) if other.any() else np.zeros((2, 0), U64)
     ties = [mix(x[0] * salt(k) + mix(x[1] + salt(k + 1))) for k in (13, 15)]
     keep = ~other
-    return np.concatenate([keys[keep], ties[0], ties[0], ties[1], ties[1]]), np.concatenate([nodes[keep], x[0], x[1], x[0], x[1]])
+    marks = np.concatenate([hot[keep], np.zeros(4 * x.shape[1], bool)])
+    return np.concatenate([keys[keep], ties[0], ties[0], ties[1], ties[1]]), np.concatenate([nodes[keep], x[0], x[1], x[0], x[1]]), marks
 
 
 class Trie:
@@ -345,8 +346,8 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
         keys, whose, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            k, w = combine(np.concatenate(keys), np.concatenate(whose))
-            return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(as_long(w))], ["key", "node"])
+            k, w, many = combine(np.concatenate(keys), np.concatenate(whose))
+            return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(as_long(w)), pa.array(many)], ["key", "node", "many"])
 
         for batch in pieces(batches, "__text", 2 << 20):
             h, ends = shingle_sets(batch.column("__text"), n)
@@ -360,9 +361,9 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
         if held:
             yield out()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long")
-    by = rows.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
-    few = F.size("nodes") <= 2 * FEW
+    rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long, many boolean")
+    by = rows.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.bool_or("many").alias("many")).where(F.size("nodes") > 1)
+    few = (F.size("nodes") <= 2 * FEW) & ~F.col("many")
     rest = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.when(few, F.slice("nodes", i + 2, 2 * FEW)).otherwise(F.array().cast("array<long>")).alias("b")))
     star = F.array(F.struct(F.get("nodes", F.lit(0)).alias("a"), F.slice("nodes", 2, F.size("nodes")).alias("b")))
     pairs = by.select(F.explode(F.when(few, rest).otherwise(star)).alias("p"), F.when(few, 1).otherwise(2).alias("w")).select("p.a", F.explode("p.b").alias("b"), "w")
