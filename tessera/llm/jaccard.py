@@ -40,7 +40,7 @@ from tessera.llm.shared import U64, as_long, durable, mix, pieces, row_key, salt
 #: Ratio of successive length classes: every set publishes for its own class, a few also for the next.
 CLASS_RATIO = 1.5
 #: Rows that a task gathers before it publishes them.
-GATHER = 1 << 19
+GATHER = 1 << 18
 #: Nodes of a key that a task passes on one by one; twice as many are paired with each other, more become a star.
 FEW = 32
 #: Buckets of the counts that rule out pairs; members on one edge of a trie, so that long edges are left early.
@@ -297,7 +297,7 @@ def nodes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text
     kept = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text", 2 << 20):
+        for batch in pieces(batches, "__text", 1 << 20):
             h, ends = shingle_sets(batch.column("__text"), n)
             size = np.diff(ends)
             node = pa.array(as_long(set_nodes(h, ends)), pa.int64(), mask=size == 0)
@@ -321,10 +321,10 @@ def common_shingles(docs: DataFrame, n: int, share: float = 0.002, text_col: str
             on = count >= max(6, share * texts)
             return pa.RecordBatch.from_arrays([pa.array(np.append(as_long(h[on]), 0)), pa.array(np.append(count[on], 0)), pa.array(np.append(np.zeros(on.sum(), np.int64), texts))], ["h", "n", "texts"])
 
-        for batch in pieces(batches, "__text", 2 << 20):
+        for batch in pieces(batches, "__text", 1 << 20):
             held.append(shingle_sets(batch.column("__text"), n)[0])
             texts += batch.num_rows
-            if sum(map(len, held)) >= 2 * GATHER and texts >= 1000:
+            if sum(map(len, held)) >= 4 * GATHER and texts >= 1000:
                 yield out()
                 held, texts = [], 0
         if texts:
@@ -349,7 +349,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
             k, w, many = combine(np.concatenate(keys), np.concatenate(whose))
             return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(as_long(w)), pa.array(many)], ["key", "node", "many"])
 
-        for batch in pieces(batches, "__text", 2 << 20):
+        for batch in pieces(batches, "__text", 1 << 20):
             h, ends = shingle_sets(batch.column("__text"), n)
             k, w = segments.publish(h, ends, set_nodes(h, ends), common.value)
             keys.append(k)
@@ -362,7 +362,8 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
             yield out()
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long, many boolean")
-    by = rows.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.bool_or("many").alias("many")).where(F.size("nodes") > 1)
+    # dealt out first: tasks have counted already, and sets built next to the Python workers would take memory twice
+    by = rows.repartition("key").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.bool_or("many").alias("many")).where(F.size("nodes") > 1)
     few = (F.size("nodes") <= 2 * FEW) & ~F.col("many")
     rest = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.when(few, F.slice("nodes", i + 2, 2 * FEW)).otherwise(F.array().cast("array<long>")).alias("b")))
     star = F.array(F.struct(F.get("nodes", F.lit(0)).alias("a"), F.slice("nodes", 2, F.size("nodes")).alias("b")))
