@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import pieces
+from tessera.llm.shared import pieces, release
 
 #: The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a task keeps before it starts its table anew.
-KEPT = 3 << 16
+KEPT = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -147,8 +147,9 @@ class ForcedBoundaryBPE:
         return [first, *[" " + c for c in rest]]
 
     def forget(self) -> None:
-        """Free the tables: the worker may go on with other work."""
+        """Free the tables and give their pages back: the worker may go on with other work."""
         self.known, self.older, self.short = {}, {}, {}
+        release()
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, pieces
+from tessera.llm.shared import byte_texts, pieces, release
 
 #: ASCII letters to lower case; every other ASCII byte but digits becomes a space; the rest stays.
 WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -46,7 +46,7 @@ def corpus_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", 1 << 20):
             found = Counter(words_of(b"\n".join(byte_texts(batch.column("t")))))
             for w in found.keys() & shared.value:
                 total[w] += found[w]
@@ -110,7 +110,7 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             probe, prefix = shared.value
-            for batch in pieces(batches, "__text"):
+            for batch in pieces(batches, "__text", 1 << 20):
                 counts, all_spans, all_items = [], [], []
                 old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
                 for text, (spans, found) in zip(byte_texts(batch.column("__text")), old, strict=True):
@@ -123,6 +123,7 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
                     all_items.append(sorted(ids | set(found or ())))
                 arrays = [pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(all_items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], kind.names)
+            release()
 
         out = out.mapInArrow(run, kind)
     return out.drop("__text")

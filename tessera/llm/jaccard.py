@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import U64, as_long, durable, mix, pieces, row_key, salt, text_bytes, word_hashes
+from tessera.llm.shared import U64, as_long, durable, mix, pieces, release, row_key, salt, text_bytes, word_hashes
 
 #: Ratio of successive length classes: every set publishes for its own class, a few also for the next.
 CLASS_RATIO = 1.5
@@ -329,6 +329,7 @@ def common_shingles(docs: DataFrame, n: int, share: float = 0.002, text_col: str
                 held, texts = [], 0
         if texts:
             yield out()
+        release()
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "h long, n long, texts long")
     found = durable(rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "common")
@@ -360,6 +361,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
                 keys, whose, held = [], [], 0
         if held:
             yield out()
+        release()
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long, many boolean")
     # dealt out first: tasks have counted already, and sets built next to the Python workers would take memory twice
@@ -428,5 +430,6 @@ def _verify(n: int, percent: int):
                     sets.append(h[ends[k] : ends[k + 1]].copy())
         if len(sets) > 1:
             yield links()
+        release()
 
     return run

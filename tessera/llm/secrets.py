@@ -50,7 +50,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", 1 << 20):
         found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t or "")] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "findings"])
 

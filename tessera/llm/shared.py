@@ -5,6 +5,9 @@ Hashes are 64 bits wide and depend on bytes only, so every executor and every re
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +78,13 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed pages back to the system, where the C library can: Python workers live on between tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- hashing -------------------------------------------------------------------------------------------------------
 
 def mix(x: np.ndarray) -> np.ndarray:

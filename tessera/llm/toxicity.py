@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import byte_texts, pieces
+from tessera.llm.shared import byte_texts, pieces, release
 
 #: The lexicon, by class; English first, then German, French and Spanish.
 INSULT = """idiot idiots moron morons stupid pathetic worthless loser losers trash scum clown clowns disgusting dumb fool fools
@@ -130,9 +130,10 @@ def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", 1 << 20):
             found = [grammar.features(t) for t in byte_texts(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], fields.names)
+        release()
 
     return kept.mapInArrow(run, fields)
 
@@ -167,6 +168,7 @@ def learned_stems(rows: DataFrame, least: int = 4, ratio: float = 25.0) -> tuple
                 total.update(stems_of(text) & shared.value)
         total[b""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
+        release()
 
     held = {bytes(r.w): r.n for r in clean.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     others = held.pop(b"", 0)
