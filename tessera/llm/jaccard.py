@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,7 @@ FEW = 32
 #: Buckets of the counts that rule out pairs; members on one edge of a trie, so that long edges are left early.
 SKETCH, EDGE = 512, 48
 #: Members of a set on average at which a block is full.
-MEMBERS = 1000
+MEMBERS = 300
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +180,7 @@ class Trie:
         order = sorted(range(len(sets)), key=sets.__getitem__)
         # node: [members of its edge, last member, children, sets that end here, shortest, longest, unlinked, parent]
         self.leaf: list[list] = [[]] * len(sets)
-        self.root = [frozenset(), -1, [], [], 0, 0, len(sets), None]
+        self.root = [[], -1, [], [], 0, 0, len(sets), None]
         todo = [(self.root, 0, len(order), 0)]
         while todo:
             parent, lo, hi, depth = todo.pop()
@@ -197,7 +196,7 @@ class Trie:
                 while end < len(a) and end < len(b) and a[end] == b[end] and end - depth < EDGE:
                     end += 1
                 sizes = [len(sets[i]) for i in order[lo:to]]
-                node = [frozenset(a[depth:end]), a[end - 1], [], [], min(sizes), max(sizes), to - lo, parent]
+                node = [a[depth:end], a[end - 1], [], [], min(sizes), max(sizes), to - lo, parent]
                 parent[2].append((node, end))
                 todo.append((node, lo, to, end))
                 lo = to
@@ -224,7 +223,7 @@ class Trie:
             for child, end in node[2]:
                 if not child[6]:
                     continue
-                now = overlap + len(members & child[0])
+                now = overlap + len(members.intersection(child[0]))
                 rest = min(child[5] - end, size - bisect_right(mine, child[1]))
                 if (100 + p) * (now + rest) >= p * (size + child[4]):
                     todo.append((child, end, now))
@@ -272,11 +271,11 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> list[int]:
-    seen: Counter[int] = Counter()
-    for s in sets:
-        seen.update(s.tolist())
-    rank = {h: k for k, h in enumerate(sorted(seen, key=lambda h: (-seen[h], h)))}
-    trie = Trie([sorted(map(rank.__getitem__, s.tolist())) for s in sets], percent)
+    known, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.lexsort((known, -times))] = np.arange(len(known))
+    ranked = np.split(rank[place], np.cumsum([len(s) for s in sets])[:-1])
+    trie = Trie([np.sort(r).tolist() for r in ranked], percent)
     root = [-1] * len(sets)
     for i in range(len(sets)):
         if root[i] >= 0:
@@ -373,7 +372,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 2000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
     """(rid, id, n_shingles long, component_id) of every row; component_id is the smallest id linked, itself included."""
     docs = docs.select(id_col, text_col)
     all_nodes = nodes(docs, n, id_col, text_col)
