@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import pieces, release
+from tessera.llm.shared import narrow, pieces, release
 
 #: The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,6 +175,7 @@ def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
 
     Empty table: empty result. Repeated rows: one result row each. `file` must exist on every executor.
     """
+    narrow(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
     fields = T.StructType([*kept.schema.fields[1:], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 

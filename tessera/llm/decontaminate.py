@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, pieces, release
+from tessera.llm.shared import byte_texts, narrow, pieces, release
 
 #: ASCII letters to lower case; every other ASCII byte but digits becomes a space; the rest stays.
 WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -97,6 +97,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns named in `keep`, n_words long, spans of hit words, items array<string>, sorted) of every row of `docs`."""
     spark = docs.sparkSession
+    narrow(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("t")).where("t is not null").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))

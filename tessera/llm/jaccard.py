@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import U64, as_long, durable, mix, pieces, release, row_key, salt, text_bytes, word_hashes
+from tessera.llm.shared import U64, as_long, durable, mix, narrow, pieces, release, row_key, salt, text_bytes, word_hashes
 
 #: Ratio of successive length classes: every set publishes for its own class, a few also for the next.
 CLASS_RATIO = 1.5
@@ -374,6 +374,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
     """(rid, id, n_shingles long, component_id) of every row; component_id is the smallest id linked, itself included."""
+    narrow(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     all_nodes = nodes(docs, n, id_col, text_col)
     chance = components(candidates(docs, n, percent, text_col))

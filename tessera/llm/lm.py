@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACED, U64, as_long, durable, pieces, row_key, text_bytes, word_hashes
+from tessera.llm.shared import SPACED, U64, as_long, durable, narrow, pieces, row_key, text_bytes, word_hashes
 
 PIECE, TABLE, HEAD, GATHER = 5, 1 << 17, 1 << 20, 1 << 21
 WINDOW, STRIDE, WIDTH = 24, 16, 16
@@ -297,6 +297,7 @@ class Model:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts over all rows where `usable` holds, and the attention model from a window of each."""
     spark = docs.sparkSession
+    narrow(spark)
     rows = docs.where(usable).select(row_key(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = durable(counted, "counts")

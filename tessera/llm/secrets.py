@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import pieces, row_key
+from tessera.llm.shared import narrow, pieces, row_key
 
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 RULES_VERSION = "1"
@@ -61,6 +61,7 @@ def blob(text_col: str = "text"):
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New ledger rows (blob, rules, findings): one for each blob that the ledger has not under these rules."""
+    narrow(docs.sparkSession)
     rows = docs.select(row_key(id_col, text_col).alias("rid"), blob(text_col).alias("blob"))
     first = rows.groupBy("blob").agg(F.min("rid").alias("rid"))
     if ledger is not None:

@@ -40,6 +40,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold at most `rows` rows: texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A non-null key of a row: equal for repeated rows, different for rows that share only the id."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
@@ -81,6 +88,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 def release() -> None:
     """Give freed pages back to the system, where the C library can: Python workers live on between tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

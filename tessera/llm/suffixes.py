@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import U64, as_long, byte_texts, byte_values, durable, mix, pieces, powers, prefix_hash, row_key, salt, text_bytes
+from tessera.llm.shared import U64, as_long, byte_texts, byte_values, durable, mix, narrow, pieces, powers, prefix_hash, row_key, salt, text_bytes
 
 #: Bytes handled at once, and rows that a task gathers before it counts them.
 SLICE, GATHER = 1 << 20, 1 << 19
@@ -217,6 +217,7 @@ def repeats(docs: DataFrame, least: int = 400, text_col: str = "text", id_col: s
 
 def dedup(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes long, removed array<struct<start, end>>, kept binary) of every row."""
+    narrow(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     found = repeats(docs, least, text_col, id_col).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     texts = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col), F.col(text_col).cast("string").alias("__text"))
