@@ -92,12 +92,12 @@ def _cores(least: int):
         blocks, held, size = Blocks(least), [], 0
 
         def out() -> pa.RecordBatch:
-            core, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            core, span = (as_long(np.concatenate(x)) for x in zip(*held, strict=True))  # signed, as Spark compares them
             order = np.lexsort((span, core))
             core, span = core[order], span[order]
             start = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
             stop = np.append(start[1:], len(core))
-            arrays = [as_long(core[start]), as_long(span[start]), as_long(span[stop - 1]), stop - start]
+            arrays = [core[start], span[start], span[stop - 1], stop - start]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["core", "low", "high", "n"])
 
         for batch in pieces(batches, "__text", SLICE):
