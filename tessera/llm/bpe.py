@@ -32,7 +32,7 @@ from tessera.llm.shared import narrow, pieces, release
 #: The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a task keeps before it starts its table anew.
-KEPT = 1 << 16
+KEPT = 1 << 17
 
 
 def byte_letters() -> list[str]:
