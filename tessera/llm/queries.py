@@ -122,4 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import sql
+
+    return sql.oracle_sql()
