@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Vectors of a task taken at once, and queries compared with them at once.
 ROWS, WIDE = 4096, 256
 #: Pairs scored at once.
-PAIRS = 1 << 15
+PAIRS = 1 << 11
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -97,9 +97,11 @@ def _nearest(shared, k: int, seed: int, spread: float, id_col: str):
         def rerank(lo: int, chosen: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
             """Exact scores of the chosen pairs, merged into the best of their queries."""
             who, what = np.nonzero(chosen)
-            score = np.empty(len(who))
+            score = np.zeros(len(who))
             for i in range(0, len(who), PAIRS):
-                score[i : i + PAIRS] = np.einsum("ij,ij->i", q[lo + who[i : i + PAIRS]], x[what[i : i + PAIRS]])
+                a, b = q[lo + who[i : i + PAIRS]].T, x[what[i : i + PAIRS]].T
+                for c in range(d):  # components in order: a score does not depend on the layout of a batch
+                    score[i : i + PAIRS] += a[c] * b[c]
             cuts = np.searchsorted(who, np.arange(len(chosen) + 1)).tolist()
             for j in np.unique(who).tolist():
                 a, b = cuts[j], cuts[j + 1]
