@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Vectors of a task taken at once, and queries compared with them at once.
 ROWS, WIDE = 4096, 256
 #: Pairs scored at once.
-PAIRS = 1 << 11
+PAIRS = 1 << 15
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -94,14 +94,20 @@ def _nearest(shared, k: int, seed: int, spread: float, id_col: str):
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(n)]
         floor = np.full(n, -np.inf)
 
-        def rerank(lo: int, chosen: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+        def rerank(lo: int, chosen: np.ndarray, x: np.ndarray, norm: np.ndarray, own: np.ndarray) -> None:
             """Exact scores of the chosen pairs, merged into the best of their queries."""
-            who, what = np.nonzero(chosen)
-            score = np.zeros(len(who))
+            (who, what), likely = np.nonzero(chosen), []
             for i in range(0, len(who), PAIRS):
-                a, b = q[lo + who[i : i + PAIRS]].T, x[what[i : i + PAIRS]].T
+                a, b = lo + who[i : i + PAIRS], what[i : i + PAIRS]
+                near = np.einsum("ij,ij->i", q[a], x[b]) >= floor[a] - 1e-9 * norms[a] * norm[b]  # rounding is far below this
+                likely.append(i + np.flatnonzero(near))
+            likely = np.concatenate([np.zeros(0, np.int64), *likely])
+            who, what = who[likely], what[likely]
+            score = np.zeros(len(who))
+            for i in range(0, len(who), PAIRS // 16):
+                a, b = q[lo + who[i : i + PAIRS // 16]].T, x[what[i : i + PAIRS // 16]].T
                 for c in range(d):  # components in order: a score does not depend on the layout of a batch
-                    score[i : i + PAIRS] += a[c] * b[c]
+                    score[i : i + PAIRS // 16] += a[c] * b[c]
             cuts = np.searchsorted(who, np.arange(len(chosen) + 1)).tolist()
             for j in np.unique(who).tolist():
                 a, b = cuts[j], cuts[j + 1]
@@ -131,9 +137,9 @@ def _nearest(shared, k: int, seed: int, spread: float, id_col: str):
                     if len(own) > 2 * k:  # the best guesses first: their scores set the bar for the others
                         first = np.zeros_like(todo)
                         np.put_along_axis(first, np.argpartition(-guess, 2 * k, axis=1)[:, : 2 * k], True, 1)
-                        rerank(lo, first & todo, x, own)
+                        rerank(lo, first & todo, x, norm, own)
                         todo &= ~first
-                    rerank(lo, todo & (guess + room >= floor[lo:hi, None]), x, own)
+                    rerank(lo, todo & (guess + room >= floor[lo:hi, None]), x, norm, own)
         counts = [len(s) for s, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.concatenate([i for _, i in best]) if n else ids, pa.int64()), pa.array(np.concatenate([s for s, _ in best]) if n else norms)], ["query_id", id_col, "score"])
 
