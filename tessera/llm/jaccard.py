@@ -44,6 +44,8 @@ GATHER = 1 << 18
 FEW = 32
 #: Buckets of the counts that rule out pairs; members on one edge of a trie, so that long edges are left early.
 SKETCH, EDGE = 512, 48
+#: Parts of the shuffle of segments for each usual one.
+SHARES = 4
 #: Members of a set on average at which a block is full.
 MEMBERS = 300
 
@@ -364,7 +366,9 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long, many boolean")
     # dealt out first: tasks have counted already, and sets built next to the Python workers would take memory twice
-    by = rows.repartition("key").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.bool_or("many").alias("many")).where(F.size("nodes") > 1)
+    # and in many parts: few rows of each task are sorted in memory at a time
+    parts = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = rows.repartition(parts, "key").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.bool_or("many").alias("many")).where(F.size("nodes") > 1)
     few = (F.size("nodes") <= 2 * FEW) & ~F.col("many")
     rest = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.when(few, F.slice("nodes", i + 2, 2 * FEW)).otherwise(F.array().cast("array<long>")).alias("b")))
     star = F.array(F.struct(F.get("nodes", F.lit(0)).alias("a"), F.slice("nodes", 2, F.size("nodes")).alias("b")))
