@@ -24,10 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import narrow, pieces, release
+from tessera.llm.shared import carried, narrow, pieces, release
 
 #: The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,15 +175,15 @@ def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
     Empty table: empty result. Repeated rows: one result row each. `file` must exist on every executor.
     """
     narrow(docs.sparkSession)
-    kept = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
-    fields = T.StructType([*kept.schema.fields[1:], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    kept, own, places = carried(docs, id_col, text_col, keep)
+    fields = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(file)
         for batch in pieces(batches, "__text", 2 << 20):
             ids = bpe.encode_all([t or "" for t in batch.column("__text").to_pylist()])
             texts = pa.array([bpe.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], id_lists(ids), texts], fields.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], id_lists(ids), texts], fields.names)
         bpe.forget()
 
     return kept.mapInArrow(run, fields)

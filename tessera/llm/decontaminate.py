@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.shared import byte_texts, narrow, pieces, release
+from tessera.llm.shared import byte_texts, carried, narrow, pieces, release
 
 #: ASCII letters to lower case; every other ASCII byte but digits becomes a space; the rest stays.
 WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -101,15 +102,19 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("t")).where("t is not null").dropDuplicates()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    out = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    kind = out.schema
+    kept, own, places = carried(docs, id_col, text_col, keep)
+    out = kept.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    between, done = out.schema, T.StructType([*own, *out.schema.fields[-3:]])
     for k in range(blocks):
         block = [(r.item, bytes(r.t, "utf-8")) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).toLocalIterator()]
         vocabulary = frozenset(w for _, t in block for w in words_of(t))
         probe = plans(block, length, corpus_counts(docs, vocabulary, text_col))
         shared = spark.sparkContext.broadcast((probe, frozenset(probe)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        last = k == blocks - 1
+        kind, chosen = (done, places) if last else (between, [*range(len(between) - 3)])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind, chosen=chosen) -> Iterator[pa.RecordBatch]:
             probe, prefix = shared.value
             for batch in pieces(batches, "__text", 1 << 20):
                 counts, all_spans, all_items = [], [], []
@@ -123,11 +128,11 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
                     all_spans.append([{"start": a, "end": b} for a, b in new])
                     all_items.append(sorted(ids | set(found or ())))
                 arrays = [pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(all_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], kind.names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in chosen], *arrays], kind.names)
             release()
 
         out = out.mapInArrow(run, kind)
-    return out.drop("__text")
+    return out
 
 
 def hit_words(spans: str = "spans"):

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 
@@ -52,6 +53,16 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[T.StructField], list[int]]:
+    """Rows of (__text as string, id, columns to keep), the fields of the latter and their places in a row. A text that is
+    kept is not there twice: it is the most that a batch holds."""
+    fields = docs.select(id_col, *keep).schema.fields
+    once = [c == text_col and f.dataType == T.StringType() for c, f in zip((id_col, *keep), fields, strict=True)]
+    rest = [c for c, same in zip((id_col, *keep), once, strict=True) if not same]
+    places = [0 if same else 1 + rest.index(c) for c, same in zip((id_col, *keep), once, strict=True)]
+    return docs.select(F.col(text_col).cast("string").alias("__text"), *rest), fields, places
+
+
 # --- Arrow batches -------------------------------------------------------------------------------------------------
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

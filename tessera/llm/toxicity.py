@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import byte_texts, narrow, pieces, release
+from tessera.llm.shared import byte_texts, carried, narrow, pieces, release
 
 #: The lexicon, by class; English first, then German, French and Spanish.
 INSULT = """idiot idiots moron morons stupid pathetic worthless loser losers trash scum clown clowns disgusting dumb fool fools
@@ -126,14 +126,14 @@ class Grammar:
 def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns named in `keep`, features array<int>) of every row."""
     narrow(docs.sparkSession)
-    kept = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
-    fields = T.StructType([*kept.schema.fields[1:], T.StructField("features", T.ArrayType(T.IntegerType()))])
+    kept, own, places = carried(docs, id_col, text_col, keep)
+    fields = T.StructType([*own, T.StructField("features", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
         for batch in pieces(batches, "__text", 1 << 20):
             found = [grammar.features(t) for t in byte_texts(batch.column("__text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], fields.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], pa.array(found, pa.list_(pa.int32()))], fields.names)
         release()
 
     return kept.mapInArrow(run, fields)
