@@ -8,9 +8,8 @@ byte). An end mark closes every text, so the score is the log10 probability of t
 
 Classes are predicted by one layer of causal self-attention. Texts are scored in overlapping windows of WINDOW ids: each
 window scores its last STRIDE ids and sees the WINDOW - STRIDE ones before them, so each id is scored once; windows are
-taken in batches under one mask. The model is trained with one window from every training text, at a place its hash
-decides, so what it learns from grows with the corpus; every task takes Adam steps from the common start over its
-windows, and the models are averaged by their numbers of windows.
+taken in batches under one mask. The model is trained with every window of every training text; every task takes Adam
+steps from the common start over its windows as they come, and the models are averaged by their numbers of windows.
 
 The word unigram baseline counts all words of the training texts. The HEAD most frequent words (a bound on what is
 broadcast) are looked up where the texts are; rarer words, few for each text, meet their counts in a join.
@@ -113,7 +112,7 @@ class Table:
 # --- the model -----------------------------------------------------------------------------------------------------
 
 SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (1, CLASSES)}
-_MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+_MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32).T[:, None].copy()
 
 
 def start(seed: int = 11) -> dict[str, np.ndarray]:
@@ -134,63 +133,101 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product of matrices, not one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
 def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Unnormalised log probabilities of the class after each of the last STRIDE ids of every window."""
+    """Unnormalised log probabilities of the class after each of the last STRIDE ids of every window.
+
+    (CLASSES, windows, STRIDE): what is summed over lies first, as in the attention (WINDOW, windows, STRIDE), which numpy
+    reduces several times faster than short rows.
+    """
     x = m["embed"][ids] + m["place"]
-    tail = x[:, -STRIDE:]
-    q, k, v = tail @ m["q"], x @ m["k"], x @ m["v"]
-    a = q @ k.transpose(0, 2, 1)
+    tail = np.ascontiguousarray(x[:, -STRIDE:])
+    q, k, v = _times(tail, m["q"]), _times(x, m["k"]), _times(x, m["v"])
+    a = np.ascontiguousarray((k @ q.transpose(0, 2, 1)).transpose(1, 0, 2))
     a *= np.float32(1 / np.sqrt(WIDTH))
     a += _MASK
-    a -= a.max(axis=2, keepdims=True)
+    a -= a.max(axis=0)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    y = a @ v
-    h = tail + y @ m["o"]
-    return h @ m["out"] + m["bias"], (x, tail, q, k, v, a, y, h)
+    a /= a.sum(axis=0)
+    y = a.transpose(1, 2, 0) @ v
+    h = tail + _times(y, m["o"])
+    z = m["out"].T @ np.ascontiguousarray(h.reshape(-1, WIDTH).T)
+    z += m["bias"].T
+    return z.reshape(-1, *h.shape[:2]), (x, tail, q, k, v, a, y, h)
 
 
 def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross entropy over the positions of weight 1."""
     z, (x, tail, q, k, v, a, y, h) = forward(m, ids)
-    z -= z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    np.put_along_axis(p, goal[:, :, None], np.take_along_axis(p, goal[:, :, None], 2) - 1, 2)
-    dz = p * (weight / max(1.0, weight.sum()))[:, :, None].astype(np.float32)
+    z -= z.max(axis=0)
+    p = np.exp(z, out=z)
+    p /= p.sum(axis=0)
+    dz = p.reshape(len(p), -1)
+    dz[goal.ravel(), np.arange(goal.size)] -= 1
+    dz *= (weight / max(1.0, weight.sum())).astype(np.float32).ravel()
     two = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": two(h).T @ two(dz), "bias": two(dz).sum(0, keepdims=True)}
-    dh = dz @ m["out"].T
+    g = {"out": (dz @ two(h)).T, "bias": dz.sum(1)[None, :]}
+    dh = (dz.T @ m["out"].T).reshape(h.shape)
     g["o"] = two(y).T @ two(dh)
-    dy = dh @ m["o"].T
-    da = dy @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dy
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dy = _times(dh, m["o"].T)
+    da = np.ascontiguousarray((v @ dy.transpose(0, 2, 1)).transpose(1, 0, 2))
+    dv = a.transpose(1, 0, 2) @ dy
+    da -= (da * a).sum(0)
+    ds = a * da
+    ds *= np.float32(1 / np.sqrt(WIDTH))
+    dq, dk = ds.transpose(1, 2, 0) @ k, ds.transpose(1, 0, 2) @ q
     g["q"], g["k"], g["v"] = two(tail).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ m["k"].T + dv @ m["v"].T
-    dx[:, -STRIDE:] += dh + dq @ m["q"].T
+    dx = _times(dk, m["k"].T) + _times(dv, m["v"].T)
+    dx[:, -STRIDE:] += dh + _times(dq, m["q"].T)
     g["place"] = dx.sum(0)
-    g["embed"] = np.zeros_like(m["embed"])
-    np.add.at(g["embed"], ids.ravel(), two(dx))
+    hot = np.zeros((ids.size, len(m["embed"])), dx.dtype)
+    hot[np.arange(ids.size), ids.ravel()] = 1
+    g["embed"] = hot.T @ two(dx)
     return g
 
 
-def adam(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, weight: np.ndarray, batch: int = 32, rate: float = 0.01, least_steps: int = 60) -> dict[str, np.ndarray]:
-    """Steps over the windows in a fixed random order; few windows are gone over several times."""
-    m = {k: v.copy() for k, v in m.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    rng, n, step = np.random.default_rng(5), len(ids), 0
-    while step < least_steps or step * batch < n:
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            step += 1
-            b = order[at : at + batch]
-            for k, g in gradients(m, ids[b], goal[b], weight[b]).items():
-                one[k] += 0.1 * (g - one[k])
-                two[k] += 0.01 * (g * g - two[k])
-                m[k] -= np.float32(rate) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
-    return m
+class Adam:
+    """Adam steps over windows as they come: `hold` of them are held, put into a fixed random order and gone over once.
+
+    Where all windows are fewer than `least_steps` batches, they are gone over several times.
+    """
+
+    def __init__(self, m: dict[str, np.ndarray], batch: int = 32, rate: float = 0.01, least_steps: int = 60, hold: int = 1 << 16):
+        self.flat = flat(m)
+        self.one, self.two = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.batch, self.rate, self.least_steps, self.hold = batch, np.float32(rate), least_steps, max(hold, batch * least_steps)
+        self.rng, self.step, self.n, self.held = np.random.default_rng(5), 0, 0, []
+
+    def add(self, ids: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> None:
+        for at in range(0, len(ids), self.hold):
+            self.held.append(tuple(x[at : at + self.hold] for x in (ids, goal, weight)))
+            self.n += len(self.held[-1][0])
+            if sum(len(x[0]) for x in self.held) >= self.hold:
+                self._pass()
+                self.held = []
+
+    def _pass(self) -> None:
+        ids, goal, weight = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        m = unflat(self.flat)  # views: the steps below show in them
+        order = self.rng.permutation(len(ids))
+        for at in range(0, len(ids), self.batch):
+            self.step += 1
+            b = order[at : at + self.batch]
+            g = flat(gradients(m, ids[b], goal[b].astype(np.int64), weight[b]))
+            self.one += np.float32(0.1) * (g - self.one)
+            self.two += np.float32(0.01) * (g * g - self.two)
+            self.flat -= self.rate * (self.one / np.float32(1 - 0.9**self.step)) / (np.sqrt(self.two / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+
+    def model(self) -> dict[str, np.ndarray]:
+        while self.held:
+            self._pass()
+            if self.step >= self.least_steps:
+                self.held = []
+        return unflat(self.flat)
 
 
 def windows(classes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,11 +257,11 @@ def class_scores(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, we
     out = np.zeros(len(ids))
     for at in range(0, len(ids), batch):
         z, _ = forward(m, ids[at : at + batch])
-        hit = np.take_along_axis(z, goal[at : at + batch, :, None], 2)[:, :, 0]
-        top = z.max(axis=2)
-        z -= top[:, :, None]
+        hit = np.take_along_axis(z, goal[None, at : at + batch], 0)[0]
+        top = z.max(axis=0)
+        z -= top
         np.exp(z, out=z)
-        hit -= np.log(z.sum(axis=2)) + top
+        hit -= np.log(z.sum(axis=0)) + top
         out[at : at + batch] = (hit * weight[at : at + batch]).sum(axis=1, dtype=np.float64)
     return out / np.log(10)
 
@@ -269,19 +306,15 @@ def most_frequent(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray,
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = shared.value
-        held = []
+        fit = Adam(model)
         for batch in pieces(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             key, owner = subwords(data, offsets)
-            ids, goal, weight, text = windows(table.read(key)[0], owner, batch.num_rows)
-            many = np.bincount(text, minlength=batch.num_rows)
-            place = np.asarray(batch.column("rid")).view(U64) % many.astype(U64)
-            chosen = np.concatenate([[0], np.cumsum(many)[:-1]]) + place.astype(np.int64)
-            held.append((ids[chosen], goal[chosen].astype(np.uint8), weight[chosen]))
-        if held:
-            ids, goal, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-            found = flat(adam(model, ids, goal.astype(np.int64), weight)).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([found.tolist()], pa.list_(pa.float64()))], ["n", "model"])
+            ids, goal, weight, _ = windows(table.read(key)[0], owner, batch.num_rows)
+            fit.add(ids, goal.astype(np.uint8), weight)
+        if fit.n:
+            found = flat(fit.model()).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([fit.n], pa.int64()), pa.array([found.tolist()], pa.list_(pa.float64()))], ["n", "model"])
 
     return run
 
@@ -295,7 +328,7 @@ class Model:
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts over all rows where `usable` holds, and the attention model from a window of each."""
+    """Counts over all rows where `usable` holds, and the attention model from all of their windows."""
     spark = docs.sparkSession
     rows = docs.where(usable).select(row_key(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
