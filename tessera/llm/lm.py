@@ -1,10 +1,10 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids.
 
 Subwords tile the bytes of a text: a word with the one space before it, or a run of other white space, cut every `PIECE`
-bytes. Their counts over all training texts give the subword table (at most TABLE entries, its bound whatever the corpus)
+bytes. Their counts over all training texts give the subword table (the TABLE most frequent, a bound on what is broadcast)
 and, with shape and frequency, a class for each subword. The probability of a subword is that of its class given what
-came before, times that of the subword within its class (add-one counts; subwords outside the table are spelled byte by
-byte). An end mark closes every text, so the score is the log10 probability of the whole text.
+came before, times that of the subword within its class (add-one counts; subwords outside the table share a class for
+each shape, where counted ones have their count, met in a join, and what is left over is spelled byte by byte). An end mark closes every text, so the score is the log10 probability of the whole text.
 
 Classes are predicted by one layer of causal self-attention. Texts are scored in overlapping windows of WINDOW ids: each
 window scores its last STRIDE ids and sees the WINDOW - STRIDE ones before them, so each id is scored once; windows are
@@ -72,9 +72,14 @@ def shape(key: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Classes and log10 probabilities within them of the subwords kept."""
+    """Classes and log10 probabilities within them of the subwords kept.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    `rest` holds, for each shape, how many counted subwords are not kept and how often they occur: those of the shape have
+    (count + (many + 1) * spelled) / (occurrences + many + 1), which is what is spelled where all are kept.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, rest: np.ndarray | None = None):
+        self.rest = np.zeros((4, 2), np.int64) if rest is None else rest
         order = np.argsort(keys)
         self.keys, counts = keys[order], counts[order].astype(float)
         rank = np.empty(len(counts), np.int64)
@@ -91,7 +96,7 @@ class Table:
         self.bytes = np.log10(spelled / spelled.sum())
 
     def read(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log10 probability within it."""
+        """Class and log10 probability within it; for subwords that `open` marks, that of their bytes."""
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             miss = np.flatnonzero(self.keys[at] != key)
@@ -108,6 +113,12 @@ class Table:
             within[miss] = spelled
         return classes, within
 
+    def open(self, classes: np.ndarray) -> np.ndarray:
+        """Is it of a class whose subwords may have counts that are not kept here."""
+        on = np.zeros(CLASSES, bool)
+        on[SPELLED:END] = self.rest[:, 0] > 0
+        return on[classes]
+
 
 # --- the model -----------------------------------------------------------------------------------------------------
 
@@ -303,6 +314,18 @@ def most_frequent(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray,
     return rows["key"].to_numpy().astype(np.int64).view(U64), rows["n"].to_numpy()
 
 
+def rest_counts(counts: DataFrame, kept: np.ndarray) -> np.ndarray:
+    """For each shape, the number and occurrences of the subwords below the lowest count kept."""
+    rare = counts.where(F.col("kind") == SUBWORD)
+    if len(kept):
+        rare = rare.where(F.col("n") < int(kept.min()))
+    form = 2 * (F.col("key").bitwiseAND(255) == 32).cast("int") + (F.shiftright("key", 8 * PIECE) == PIECE).cast("int")
+    out = np.zeros((4, 2), np.int64)
+    for r in rare.groupBy(form.alias("form")).agg(F.count("*").alias("many"), F.sum("n").alias("times")).collect():
+        out[r.form] = r.many, r.times
+    return out
+
+
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = shared.value
@@ -319,6 +342,14 @@ def _train(shared):
     return run
 
 
+def distinct(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text, their texts, and how often each occurs there."""
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))[: len(key)]
+    return key[new], owner[new], np.diff(np.append(new, len(key)))
+
+
 class Model:
     """What scoring needs: subword table, attention model, head of the word counts, totals."""
 
@@ -335,7 +366,8 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     counts = durable(counted, "counts")
     totals = counts.where(F.col("kind") == WORD).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     texts = docs.where(usable).count()
-    table = Table(*most_frequent(counts, SUBWORD, TABLE))
+    keys, kept = most_frequent(counts, SUBWORD, TABLE)
+    table = Table(keys, kept, rest_counts(counts, kept))
     model = start()
     shared = spark.sparkContext.broadcast((table, model))
     fits = rows.mapInArrow(_train(shared), "n long, model array<double>").select("n", F.posexplode("model").alias("at", "x"))
@@ -365,33 +397,37 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             hit = words[at] == w if len(words) else np.zeros(len(w), bool)
             head = np.bincount(doc[hit], logs[at[hit]], m) + np.log10(texts + 1.0)
             known = np.bincount(doc[hit], minlength=m) + (texts > 0)
-            rare, who = w[~hit], doc[~hit]
-            order = np.lexsort((rare, who))
-            rare, who = rare[order], who[order]
-            new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (who[1:] != who[:-1])))[: len(rare)]
-            times = np.diff(np.append(new, len(rare)))
+            rare, who, times = distinct(w[~hit], doc[~hit])
             key, owner = subwords(data, offsets)
             classes, within = table.read(key)
             ids, goal, weight, text = windows(classes, owner, m)
-            own = np.bincount(owner, within, m) + np.bincount(text, class_scores(attention, ids, goal, weight), m)
+            ask = table.open(classes)
+            sub, whose, often = distinct(key[ask], owner[ask])
+            spelled = table.read(sub)[1]
+            own = np.bincount(owner[~ask], within[~ask], m) + np.bincount(text, class_scores(attention, ids, goal, weight), m)
             rid = np.asarray(batch.column("rid"))
-            t = len(new)
+            t, u = len(rare), len(sub)
+            none = np.zeros(t + u)
             columns = [
-                np.concatenate([rid, as_long(rare[new])]), np.concatenate([rid, rid[who[new]]]), np.concatenate([np.zeros(m, bool), np.ones(t, bool)]),
-                np.concatenate([np.bincount(doc, minlength=m) + 1, times]), np.concatenate([known, np.zeros(t, np.int64)]), np.concatenate([head, np.zeros(t)]), np.concatenate([own, np.zeros(t)]),
+                np.repeat(np.array([WORD, WORD, SUBWORD], np.int32), [m, t, u]), np.concatenate([rid, as_long(rare), as_long(sub)]), np.concatenate([rid, rid[who], rid[whose]]), np.repeat([False, True], [m, t + u]),
+                np.concatenate([np.bincount(doc, minlength=m) + 1, times, often]), np.concatenate([known, np.zeros(t, np.int64), shape(sub)]), np.concatenate([head, none]), np.concatenate([own, np.zeros(t), spelled]),
             ]
-            names = pa.concat_arrays([batch.column(1), pa.nulls(t, batch.column(1).type)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), names], ["key", "rid", "rare", "n", "known", "head", "own", id_col])
+            names = pa.concat_arrays([batch.column(1), pa.nulls(t + u, batch.column(1).type)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), names], ["kind", "key", "rid", "rare", "n", "known", "head", "own", id_col])
 
-    rows = kept.mapInArrow(run, f"key long, rid long, rare boolean, n long, known long, head double, own double, `{id_col}` {kind}")
+    rows = kept.mapInArrow(run, f"kind int, key long, rid long, rare boolean, n long, known long, head double, own double, `{id_col}` {kind}")
     # a text's own row travels by its key too, so that one pass over the texts serves both
-    words = model.counts.where(F.col("kind") == WORD).select("key", F.col("n").alias("c"))
-    met = rows.join(words, "key", "left").withColumn("c", F.when(F.col("rare"), F.coalesce("c", F.lit(0))))
+    words = model.counts.where((F.col("kind") == WORD) | F.lit(bool(model.table.rest.any()))).select("kind", "key", F.col("n").alias("c"))
+    met = rows.join(words, ["kind", "key"], "left").withColumn("c", F.when(F.col("rare"), F.coalesce("c", F.lit(0))))
+    word, sub = F.col("kind") == WORD, F.col("kind") == SUBWORD
+    many, times = (F.element_at(F.array(*[F.lit(float(x)) for x in model.table.rest[:, k]]), F.when(sub, F.col("known") + 1).otherwise(1).cast("int")) for k in (0, 1))
+    inside = F.log10((F.col("c") + (many + 1) * F.pow(F.lit(10.0), F.col("own"))) / (times + many + 1))
     copies = F.sum((~F.col("rare")).cast("long"))  # repeated rows share a key: what is summed is as many times too large
     by = met.groupBy("rid").agg(
         copies.alias("copies"), F.max(id_col).alias(id_col), F.sum(F.when(~F.col("rare"), F.col("n"))).alias("n"),
-        F.sum(F.when(F.col("rare"), F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(F.col("rare"), F.col("n") * F.log10(F.col("c") + 1)).otherwise(F.col("head"))).alias("base"), F.sum("own").alias("own"),
+        F.sum(F.when(word, F.when(F.col("rare"), F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")))).alias("known"),
+        F.sum(F.when(word, F.when(F.col("rare"), F.col("n") * F.log10(F.col("c") + 1)).otherwise(F.col("head")))).alias("base"),
+        F.sum(F.when(sub, F.col("n") * inside).otherwise(F.col("own"))).alias("own"),
     )
     each = by.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     n = F.expr("n div copies")

@@ -33,3 +33,31 @@ def test_lm_adam_goes_over_each_window_once():
         fit.add(ids[at : at + 30], goal[at : at + 30], weight[at : at + 30])
     fit.model()
     assert fit.n == 70 and fit.step == 9 and not fit.held
+
+
+def test_lm_subwords_beyond_the_table_have_their_counts(spark, monkeypatch):
+    common, rare, unseen = "the cat sat on the mat", "zq", "zv"
+    rows = [(i, common) for i in range(20)] + [(100 + i, f"{common} {rare}") for i in range(3)] + [(200, f"{common} {unseen}"), (201, "zq zq zv"), (202, None)]
+    docs = spark.createDataFrame(rows + rows[-2:-1], "doc_id long, text string")
+    monkeypatch.setattr(lm, "TABLE", 6)
+    model = lm.train(docs, F.col("doc_id") < 200)
+    counts = {(r.key, r.n) for r in model.counts.where("kind = 1").collect()}
+    kept = set(model.table.keys.astype(np.int64).tolist())
+    assert 0 < len(kept) <= 6 < len(counts)
+    form = lambda key: int(lm.shape(np.array([key], np.uint64))[0])
+    for f in range(4):
+        left = [n for key, n in counts if key not in kept and form(key) == f]
+        assert model.table.rest[f].tolist() == [len(left), sum(left)]
+    score = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    for i, t in rows:
+        data, offsets = text_bytes(pa.array([t]))
+        key, owner = lm.subwords(data, offsets)
+        classes, within = model.table.read(key)
+        want = lm.class_scores(model.attention, *lm.windows(classes, owner, 1)[:3]).sum()
+        for k, x in zip(key.astype(np.int64).tolist(), within.tolist(), strict=True):
+            if k not in kept:
+                many, times = model.table.rest[form(k)]
+                x = np.log10((dict(counts).get(k, 0) + (many + 1) * 10**x) / (times + many + 1))
+            want += x
+        assert abs(score[i] - want) < 1e-4, (i, score[i], want)
+    assert score[100] > score[200] + 0.3  # the same but for a subword that was counted three times
