@@ -296,6 +296,16 @@ for _name, _r, _c in (("dense_block_diagonal", "r", "c"), ("dense_block_diagonal
         return out.select("id", "k", g(F.col("v")).alias("v"))
 
 
+for _name, _r, _c in (("dense_block_diagonal_whole", "r", "c"), ("dense_block_diagonal_transpose_whole", "c", "r")):
+
+    @query(_name, f"SELECT id, (k // 8) * 8 + {_r} AS k, {G('sum(cos(r * 1.0 + c * 2.0) * v)')} AS v FROM series JOIN (SELECT r, c FROM range(8) a(r), range(8) b(c)) ON k % 8 = {_c} GROUP BY 1, 2")
+    def _(t, flip=_r == "c"):
+        op = L.Matrix(dense(t).table, *(("col", "row") if flip else ("row", "col")))
+        x = t.series.select("id", F.expr("k div 8").alias("block"), (F.col("k") % 8).alias(op.col), "v")
+        out = op.table.join(x, op.col).groupBy("id", (F.col("block") * 8 + F.col(op.row)).alias("k")).agg(F.sum(F.col("val") * F.col("v")).alias("v"))
+        return out.select("id", "k", g(F.col("v")).alias("v"))
+
+
 @query("tree_dot", f"SELECT {G('sum(c_acctbal * c_custkey)', 1)} AS dot FROM customer")
 def _(t):
     return t.read("customer").agg(g(F.sum(F.col("c_acctbal") * F.col("c_custkey")), 1).alias("dot"))
@@ -331,6 +341,13 @@ def _(t):
     return sums.select(F.explode(cells).alias("c")).select("c.i", "c.j", g(F.col("c.v"), 1e5).alias("v"))
 
 
+@query("tree_matmat_whole", f"SELECT a.k AS i, b.k AS j, {G('sum(a.v * b.v)', 1e5)} AS v FROM ({LABELS}) a JOIN ({LABELS}) b USING (vec_id) GROUP BY 1, 2")
+def _(t):
+    e = t.read("embeddings").select("embedding", F.posexplode("embedding").alias("i", "a")).select("i", "a", F.posexplode("embedding").alias("j", "b"))
+    sums = e.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("v"))
+    return sums.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), g(F.col("v"), 1e5).alias("v"))
+
+
 # --- series --------------------------------------------------------------------------------------------------------
 
 LAGS = "coalesce(lag(d, {0}) OVER w, 0) + coalesce(lead(d, {0}) OVER w, 0)"

@@ -344,6 +344,14 @@ def _(t):
     return Inverse(op).apply(axis.withColumn("v", F.lit(1.0))).select("k", g(F.col("v")).alias("v"))
 
 
+@query("cg_diagonal_whole", f"SELECT k, {G('v / (k % 5 + 1)', 1e4)} AS v FROM vec")
+def _(t):
+    from tessera.operators.linear import Diagonal, Inverse
+
+    op = Diagonal(t.vec.select("k", (F.col("k") % 5 + 1.0).alias("d")), ("k",))
+    return Inverse(op).apply(t.vec).select("k", g(F.col("v"), 1e4).alias("v"))
+
+
 @query("covariance_by_label", f"SELECT label, {G('sum(v * v) / count(*) - pow(sum(v) / count(*), 2)')} AS var FROM ({LABEL_SQL}) AS x GROUP BY label")
 def _(t):
     v = F.col("v")
