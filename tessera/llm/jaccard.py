@@ -123,8 +123,10 @@ class Segments:
         own = np.searchsorted(self.bounds, sizes, "right") - 1
         nxt = np.searchsorted(self.bounds, sizes * 100 // self.percent, "right") - 1
         keys, whose = [], []
-        for classes, on in ((own, sizes >= self.least), (nxt, (sizes >= self.least) & (nxt != own))):
-            docs = np.flatnonzero(on)
+        # the own class of a larger partner is any from this set's own to that of its largest partner
+        for step in range(int((nxt - own).max(initial=0)) + 1):
+            classes = own + step
+            docs = np.flatnonzero((sizes >= self.least) & (classes <= nxt))
             if not len(docs):
                 continue
             length = kept[docs]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import lm
+from tessera.llm import jaccard, lm
 from tessera.llm.shared import text_bytes
 
 
@@ -61,3 +61,12 @@ def test_lm_subwords_beyond_the_table_have_their_counts(spark, monkeypatch):
             want += x
         assert abs(score[i] - want) < 1e-4, (i, score[i], want)
     assert score[100] > score[200] + 0.3  # the same but for a subword that was counted three times
+
+
+def test_jaccard_links_sets_two_classes_apart(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words[:10])), (2, " ".join(words[:15])), (3, " ".join(words[20:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 66):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, n=1, percent=percent).collect()}
+        assert found == {1: (10, 1), 2: (15, 1), 3: (10, 3)}
