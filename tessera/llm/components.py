@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import durable
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of an edge reaches. Loops and repeated edges do no harm."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = durable(now, "edges")
     last = None
-    for _ in range(most):
+    while True:  # ends when a step changes nothing; the number of steps grows with the logarithm of the input
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

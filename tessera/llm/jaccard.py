@@ -379,7 +379,10 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
-    """(rid, id, n_shingles long, component_id) of every row; component_id is the smallest id linked, itself included."""
+    """(rid, id, n_shingles long, component_id, class) of every row; component_id is the smallest id linked, itself included.
+
+    `class` (long) tells components apart that share an id, as rows of one id and unlike texts do; null for empty texts.
+    """
     docs = docs.select(id_col, text_col)
     all_nodes = nodes(docs, n, id_col, text_col)
     chance = components(candidates(docs, n, percent, text_col))
@@ -399,18 +402,21 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     roots = components(links)
     lowest = all_nodes.groupBy("node").agg(F.min(id_col).alias("low"))
     named = roots.join(lowest, "node").groupBy("root").agg(F.min("low").alias("low"))
-    labels = lowest.where("node is not null").join(roots, "node", "left").join(named.withColumnRenamed("low", "all_low"), "root", "left").select("node", F.coalesce("all_low", "low").alias("component_id"))
+    labels = lowest.where("node is not null").join(roots, "node", "left").join(named.withColumnRenamed("low", "all_low"), "root", "left").select("node", F.coalesce("all_low", "low").alias("component_id"), F.coalesce("root", "node").alias("class"))
     out = all_nodes.join(labels, "node", "left")
-    return out.select("rid", id_col, "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(id_col))).alias("component_id"))
+    return out.select("rid", F.col(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col(id_col))).alias("component_id"), "class")
 
 
-def representatives(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of `docs` with the smallest id of their group; of rows that repeat each other one stays."""
-    groups = join(docs, n, percent, **options)
-    chosen = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("rid", F.coalesce("component_id", "rid").alias("g"))
-    one = chosen.groupBy("g").agg(F.min("rid").alias("__rid")).select("__rid")
-    rows = docs.withColumn("__rid", row_key())
-    return rows.join(one.hint("shuffle_hash"), "__rid", "left_semi").dropDuplicates(["__rid"]).select(docs.columns)
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The row of smallest id of each class of linked texts (null ids first; among equal ids the smallest row key).
+
+    Texts without words are linked with nothing, so all of them stay. Of rows that repeat each other one stays. Rows that
+    share an id but not a class are judged apart.
+    """
+    groups = join(docs, n, percent, id_col, text_col, **options)
+    one = groups.groupBy("class", F.when(F.col("class").isNull(), F.col("rid")).alias("alone")).agg(F.min(F.struct(F.col(id_col).alias("id"), "rid"))["rid"].alias("__rid"))
+    rows = docs.withColumn("__rid", row_key(id_col, text_col))
+    return rows.join(one.select("__rid").hint("shuffle_hash"), "__rid", "left_semi").dropDuplicates(["__rid"]).select(docs.columns)
 
 
 def _verify(n: int, percent: int):

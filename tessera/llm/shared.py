@@ -25,9 +25,12 @@ U64 = np.uint64
 # --- tables that outlive an executor -------------------------------------------------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that all executors see (spark.checkpoint.dir); a temporary one only in local mode where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -137,21 +140,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; upper-case ASCII letters share those of the lower case if `lower`."""
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+#: Upper-case ASCII letters to lower case, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a lane.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """n + 1 sums; the span [a, b) hashes to (sums[b] - sums[a]) * inverse**a."""
-    up, _ = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U64)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return sums
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes that start at each place, as a number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 #: Bytes of words split at white space (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -176,12 +176,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each white-space separated word, ASCII letters in lower case, in text order."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each white-space separated word, ASCII letters in lower case, in text order.
+
+    A word is cut into lanes of 8 bytes; its hash is the sum of the scrambled lanes, each with its place and the word's
+    length mixed in. Unlike a polynomial modulo a power of two it has no words that collide by their structure.
+    """
     start, end, doc = word_spans(data, offsets, SPACED)
-    sums = prefix_hash(data, byte_values(lower=True))
-    _, down = powers(len(data) + 1)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64)), doc
+    size = end - start
+    lane = lanes(LOWER[data] if lower else data)
+    h = mix((lane[start] & MASKS[np.minimum(size, 8)]) + size.astype(U64) * salt(30))
+    more = np.flatnonzero(size > 8)
+    k = 0
+    while len(more):
+        k += 1
+        left = size[more] - 8 * k
+        h[more] += mix(mix((lane[start[more] + 8 * k] & MASKS[np.minimum(left, 8)]) + salt(31)) + salt(40 + k))
+        more = more[left > 8]
+    return mix(h), doc
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
