@@ -33,9 +33,9 @@ def sha(text):
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import suffixes
 
-    out = suffixes.dedup(table(spark, sf_dir, "documents"), least=400)
-    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha("kept").alias("kept_sha256"))
+    out = suffixes.dedup(table(spark, sf_dir, "documents"), least=400, words=50)
+    length = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", length("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha("kept").alias("kept_sha256"), length("passages").alias("n_passage_words"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

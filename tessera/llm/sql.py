@@ -18,9 +18,15 @@ ALNUM = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 
 
-def suffixes(least: int = 400) -> str:
+def suffixes(least: int = 400, words: int = 50) -> str:
     return f"""
-WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+WITH t AS (SELECT doc_id, {SPACED} AS w FROM documents),
+tw AS (SELECT doc_id, unnest(range(1, len(w) - {words - 2})) AS i, w FROM t WHERE len(w) >= {words}),
+th AS (SELECT doc_id, i, md5(array_to_string(w[i : i + {words - 1}], ' ')) AS h FROM tw),
+t2 AS (SELECT h FROM th GROUP BY h HAVING count(*) > 1),
+gap AS (SELECT doc_id, least({words}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {words})) AS n FROM th SEMI JOIN t2 USING (h)),
+pass AS (SELECT doc_id, sum(n) AS n FROM gap GROUP BY doc_id),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, unnest(range(1, n - {least - 2})) AS i, b FROM d WHERE n >= {least}),
 h AS (SELECT doc_id, i, md5(b[i : i + {least - 1}]) AS h FROM w),
 twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
@@ -31,7 +37,8 @@ cut AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1)
   UNION ALL SELECT d.doc_id, coalesce(max(z), 1), any_value(n), NULL FROM d LEFT JOIN span ON d.doc_id = span.doc_id GROUP BY d.doc_id),
 kept AS (SELECT c.doc_id, any_value(n) AS n, sum(gone) AS gone, count(gone) AS spans, string_agg(CASE WHEN hi >= lo THEN hex(b[lo : hi]) ELSE '' END, '' ORDER BY lo, hi) AS hex
   FROM cut c JOIN d ON c.doc_id = d.doc_id GROUP BY c.doc_id)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(hex)) AS kept_sha256 FROM kept"""
+SELECT doc_id, kept.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(hex)) AS kept_sha256, coalesce(pass.n, 0)::BIGINT AS n_passage_words
+FROM kept LEFT JOIN pass USING (doc_id)"""
 
 
 def neighbours(k: int = 20, every: int = 20) -> str:

@@ -55,22 +55,45 @@ def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
 
 
-def test_suffixes(docs, empty):
-    least = 40
-    seen = Counter((t or "").encode()[i : i + least] for _, t, _ in ROWS for i in range(len((t or "").encode()) - least + 1))
-    want = []
-    for d, t, _ in ROWS:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - least + 1):
-            if seen[b[i : i + least]] > 1:
-                gone[i : i + least] = True
-        want.append((d, len(b), bytes(np.frombuffer(b, np.uint8)[~gone])))
-    got = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffixes.dedup(docs, least).collect()]
+def covered(letters, seen, least):
+    gone = np.zeros(len(letters), bool)
+    for i in range(len(letters) - least + 1):
+        if seen[letters[i : i + least]] > 1:
+            gone[i : i + least] = True
+    return gone
+
+
+@pytest.mark.parametrize(("least", "words", "part"), [(40, 5, 1 << 20), (40, 5, 500), (100, 48, 300), (9, 2, 1 << 20)])
+def test_suffixes(docs, empty, monkeypatch, least, words, part):
+    monkeypatch.setattr(suffixes, "SLICE", part)  # several slices of a text: blocks are cut where slices meet
+    units = {}
+    for unit, split, size in (("bytes", lambda t: (t or "").encode(), least), ("words", lambda t: tuple(spaced(t)), words)):
+        seen = Counter(x[i : i + size] for _, t, _ in ROWS for x in [split(t)] for i in range(len(x) - size + 1))
+        units[unit] = [covered(split(t), seen, size) for _, t, _ in ROWS]
+    want = [(d, len((t or "").encode()), bytes(np.frombuffer((t or "").encode(), np.uint8)[~a]), int(b.sum())) for (d, t, _), a, b in zip(ROWS, units["bytes"], units["words"], strict=True)]
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept), sum(s["end"] - s["start"] for s in r.passages)) for r in suffixes.dedup(docs, least, words).collect()]
     assert sorted(got) == sorted(want)
     assert suffixes.dedup(empty, least).count() == 0
 
 
+def test_words_of_like_structure_differ(spark):
+    """Thue-Morse words: polynomials modulo a power of two give a word and its complement one hash."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    table = spark.createDataFrame([(1, f"q {a} r"), (2, f"q {b} r")], "doc_id long, text string")
+    assert [r.component_id for r in jaccard.join(table, 3, 90).orderBy("doc_id").collect()] == [1, 2]
+    assert {r.doc_id: r.n_known for r in lm.score(table, lm.train(table, F.col("doc_id") == 1)).collect()} == {1: 4, 2: 3}
+
+
+def test_representatives_keep_unlike_texts_of_one_id(spark):
+    x, y = BASE[0], BASE[7]
+    rows = [(1, x), (1, y), (1, x), (2, y), (3, x + " tail"), (None, BASE[5]), (None, BASE[6]), (4, None), (4, ""), (5, None)]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in [(1, x), (1, y), (None, BASE[5]), (None, BASE[6]), (4, None), (4, ""), (5, None)])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 16))
