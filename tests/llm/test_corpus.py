@@ -108,6 +108,28 @@ def test_vectors(spark):
     assert vectors.search(vectors.index(table.where("false")), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_any_size_and_length(spark):
+    rng = np.random.default_rng(3)
+    small = rng.standard_normal((10, 8))
+    for scale in (1.0, 1e25, 1e-25, 1e200):
+        x = small * scale
+        x[3, :2] = 1e38
+        table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        out = vectors.search(vectors.index(table), F.col("vec_id") == 0, k=20).collect()
+        assert len(out) == 9
+    rows = [(i, [float(v) for v in rng.standard_normal(16 if i % 3 else 70)]) for i in range(120)] + [(40, [1.0] * 5), (None, [1.0] * 16), (60, [2.0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for size in (32 << 20, 900):  # one block of queries, and many
+        out = vectors.search(vectors.index(table), F.col("vec_id") % 20 == 0, k=4, block_bytes=size).collect()
+        found[size] = sorted((r.query_id, r["rank"], r.score) for r in out)
+    assert found[32 << 20] == found[900]
+    for q in (20, 100):
+        v = np.array(rows[q][1])
+        best = sorted((float(np.dot(v, r)) for i, r in rows if len(r) == len(v) and i != q), reverse=True)[:4]
+        assert [s for i, _, s in found[900] if i == q] == pytest.approx(best)
+
+
 def test_shards(docs, empty):
     rows = shards.assign(docs, shards=5, nodes=8).collect()
     assert len(rows) == len(ROWS)
