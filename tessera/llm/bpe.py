@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.shared import carried, narrow, pieces, release
+from tessera.llm.shared import carried, free, narrow, pieces, release
 
 #: The published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a task keeps before it starts its table anew.
-KEPT = 1 << 17
+#: Entries that a task keeps, and their bytes, before it starts its table anew.
+KEPT, KEPT_BYTES = 1 << 17, 24 << 20
 
 
 def byte_letters() -> list[str]:
@@ -79,6 +79,7 @@ class ForcedBoundaryBPE:
         self.known: dict[str | int, bytes] = {}  # ids of chunks and of special tokens, as int32 bytes
         self.older: dict[str | int, bytes] = {}
         self.short: dict[bytes, bytes] = {}  # ids of fragments
+        self.sizes = {"known": 0, "short": 0}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks: cut into pieces, then at every byte pair that no token holds; each distinct fragment
@@ -100,9 +101,11 @@ class ForcedBoundaryBPE:
         at = ends.tolist()
         fragments = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
         fresh = list(set(fragments) - self.short.keys())
-        if len(self.short) + len(fresh) > 2 * KEPT:
+        if len(self.short) + len(fresh) > 2 * KEPT or self.sizes["short"] > KEPT_BYTES:
             self.short.clear()
+            self.sizes["short"] = 0
             fresh = list(set(fragments))
+        self.sizes["short"] += 5 * sum(map(len, fresh))  # the fragment, and its ids at most
         coded = self.alone.encode_batch_fast([f.decode("latin-1").translate(self.letters) for f in fresh], add_special_tokens=False)
         self.short.update(zip(fresh, [array("i", e.ids).tobytes() for e in coded], strict=True))
         ids = list(map(self.short.__getitem__, fragments))
@@ -125,9 +128,10 @@ class ForcedBoundaryBPE:
             row += self._chunks(text[at:] if at else text)
             rows.append(row)
         missing = set().union(*rows) - self.known.keys()
-        if len(self.known) + len(missing) > KEPT:  # the entries in use now and their elders stay, older ones go
-            self.known, self.older = {}, self.known
+        if len(self.known) + len(missing) > KEPT or self.sizes["known"] > KEPT_BYTES:  # the entries in use now and their elders stay, older ones go
+            self.known, self.older, self.sizes["known"] = {}, self.known, 0
             missing = set().union(*rows)
+        self.sizes["known"] += 2 * sum(len(c) for c in missing if isinstance(c, str))  # the chunk and its ids, about
         self.known |= {c: self.older[c] for c in missing & self.older.keys()}
         missing -= self.older.keys()
         marks = {c for c in missing if isinstance(c, int)}
@@ -148,6 +152,7 @@ class ForcedBoundaryBPE:
     def forget(self) -> None:
         """Free the tables and give their pages back: the worker may go on with other work."""
         self.known, self.older, self.short = {}, {}, {}
+        self.sizes = {"known": 0, "short": 0}
         release()
 
     def encode(self, text: str) -> np.ndarray:
@@ -172,11 +177,14 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
 def tokenize(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns named in `keep`, ids array<int>, decoded string) of every row; a null text is empty.
 
-    Empty table: empty result. Repeated rows: one result row each. `file` must exist on every executor.
+    Empty table: empty result. Repeated rows: one result row each. Very long texts are encoded whole, alone in their batch.
+    A kept column named ids or decoded stays, and the own one gets an underscore behind its name. `file` must exist on every
+    executor.
     """
     narrow(docs.sparkSession)
     kept, own, places = carried(docs, id_col, text_col, keep)
-    fields = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    ids_name, text_name = (free(c, (id_col, *keep)) for c in ("ids", "decoded"))
+    fields = T.StructType([*own, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(text_name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(file)

@@ -10,7 +10,9 @@ The benchmark is taken in blocks of at most `block_bytes`, so what a broadcast h
 block is one narrow pass over the documents, and no text is shuffled.
 
 Nulls and texts without words: no words, nothing hit. Items without words match nothing; an item with a null id hits
-words but is not listed. Repeated rows get a row each, repeated items count once. Empty tables give empty or clean rows.
+words but is not listed. Repeated rows get a row each, repeated items count once. Empty tables give empty or clean rows. A text
+of any length is read whole, a long one alone in its batch. A kept column named like one of the operator's own stays, and the
+own one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import byte_texts, carried, narrow, pieces, release
+from tessera.llm.shared import byte_texts, carried, free, narrow, pieces, release
 
 #: ASCII letters to lower case; every other ASCII byte but digits becomes a space; the rest stays.
 WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -103,8 +105,10 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     kept, own, places = carried(docs, id_col, text_col, keep)
-    out = kept.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    between, done = out.schema, T.StructType([*own, *out.schema.fields[-3:]])
+    out = kept.select("*", F.lit(None).cast("long").alias("__n_words"), F.lit(None).cast(SPAN).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    taken = tuple(f.name for f in own)
+    found = [T.StructField(free(f.name[2:], taken), f.dataType) for f in out.schema.fields[-3:]]
+    between, done = out.schema, T.StructType([*own, *found])
     for k in range(blocks):
         block = [(r.item, bytes(r.t, "utf-8")) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).toLocalIterator()]
         vocabulary = frozenset(w for _, t in block for w in words_of(t))
@@ -118,7 +122,7 @@ def find(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_col: str =
             probe, prefix = shared.value
             for batch in pieces(batches, "__text", 1 << 20):
                 counts, all_spans, all_items = [], [], []
-                old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                old = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)
                 for text, (spans, found) in zip(byte_texts(batch.column("__text")), old, strict=True):
                     words = words_of(text)
                     new, ids = occurrences(words, probe, prefix)

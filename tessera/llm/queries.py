@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import shared_folder
+
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer files are: TESSERA_TOKENIZERS, or the installed package."""
@@ -98,7 +101,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import secrets
 
-    found = secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ledger = f"{shared_folder(spark)}/tessera-ledger-{uuid.uuid4().hex[:12]}"  # a new one: every blob of the table is unseen
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger)
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))
     base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))

@@ -4,13 +4,18 @@ Every version of a text is addressed by the SHA-256 of its bytes (its blob). The
 of the rules, what was found. A scan computes the blobs of all rows, takes one row for each blob that the ledger does not
 yet know under these rules, scans those texts only, and joins the findings back to every row (path) that has the blob.
 Copies are counted out before any text moves: the blobs are grouped first, so a blob that a third of all rows share is
-one narrow row for each task, and the join back carries only blobs with findings.
+one narrow row for each task, and the join back carries only blobs with findings: by broadcast where a count shows that they
+are few, by a shuffle (which AQE splits where a blob is hot) where not. The version of the rules is a digest of the patterns,
+so a changed rule makes every blob unseen under the new version, and old findings stay on record.
 
-Null is the empty text and has no findings. Repeated rows get a row each. Offsets are code points, ends exclusive.
+Null is the empty text and has no findings. Repeated rows get a row each. Texts are scanned whole, in batches of about 1 MB, a
+longer text alone. Offsets are code points, ends exclusive. An empty table gives an empty result and adds nothing to a ledger.
+A kept column named like one of the operator's own (blob, findings) stays, and the own one gets an underscore behind its name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import narrow, pieces, row_key
+from tessera.llm.shared import free, narrow, pieces, row_key
 
 FOUND = "array<struct<kind:string,start:int,end:int>>"
-RULES_VERSION = "1"
 #: Kinds in the order of ties. The first three are the base rules, the others published formats of credentials.
 KINDS = ("assign", "access", "hex", "github", "jwt", "pem")
 BASE = KINDS[:3]
@@ -34,6 +38,17 @@ _MORE = {
     "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     "pem": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
 }
+#: Numbers of blobs with findings, and of findings, up to which they are broadcast.
+FEW = 200_000, 1_000_000
+
+
+def rules_version() -> str:
+    """A digest of all rules: patterns, their flags, least lengths and order."""
+    rules = [_ASSIGN.pattern, str(_ASSIGN.flags), "12", _ACCESS.pattern, "18", _HEX.pattern, *(f"{k} {hint} {p.pattern}" for k, (hint, p) in _MORE.items()), *KINDS]
+    return hashlib.sha256("\n".join(rules).encode()).hexdigest()[:16]
+
+
+RULES_VERSION = rules_version()
 
 
 def scan_text(text: str) -> list[tuple[str, int, int]]:
@@ -71,35 +86,60 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION
     return found.select("blob", F.lit(rules).alias("rules"), "findings")
 
 
+def _back(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(id, __blob, __findings, kept columns) of every row, from ledger rows."""
+    # repeated rows may have been scanned twice: the smallest of equal findings is any of them
+    known = known.where(F.size("findings") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.min("findings").alias("__found"))
+    rows = docs.select(F.col(id_col), blob(text_col).alias("__blob"), *keep)
+    out = rows.join(known, "__blob", "left")
+    return out.select(id_col, "__blob", F.coalesce("__found", F.array().cast(FOUND)).alias("__findings"), *keep)
+
+
+def _named(found: DataFrame, id_col: str, keep: tuple[str, ...]) -> DataFrame:
+    return found.select(id_col, F.col("__blob").alias(free("blob", (id_col, *keep))), F.col("__findings").alias(free("findings", (id_col, *keep))), *keep)
+
+
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, blob, findings, columns named in `keep`) of every row: ledger entries and new ones joined back to all paths."""
+    """(id, blob, findings, columns named in `keep`) of every row: ledger entries and new ones joined back to all paths.
+
+    Nothing is written; `scan` keeps what it finds.
+    """
     known = unseen(docs, ledger, rules, id_col, text_col)
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rules") == rules).select("blob", "rules", "findings"))
-    # repeated rows may have been scanned twice: the smallest of equal findings is any of them
-    known = known.where(F.size("findings") > 0).groupBy("blob").agg(F.min("findings").alias("findings"))
-    rows = docs.select(F.col(id_col), blob(text_col).alias("blob"), *keep)
-    out = rows.join(known, "blob", "left")
-    return out.select(id_col, "blob", F.coalesce("findings", F.array().cast(FOUND)).alias("findings"), *keep)
+    return _named(_back(docs, known, id_col, text_col, keep), id_col, keep)
+
+
+def scan(docs: DataFrame, ledger_path: str, rules: str = RULES_VERSION, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, blob, findings, columns named in `keep`) of every row, by way of the ledger at this shared path: texts that it
+    has under these rules are not scanned again, and the others are entered."""
+    known = extend(ledger_path, docs, rules, id_col, text_col).where((F.col("rules") == rules) & (F.size("findings") > 0))
+    many = known.agg(F.count("*").alias("blobs"), F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings")).first()
+    if many.blobs <= FEW[0] and many.findings <= FEW[1]:
+        known = F.broadcast(known)
+    return _named(_back(docs, known, id_col, text_col, keep), id_col, keep)
+
 
+def extend(ledger_path: str, docs: DataFrame, rules: str = RULES_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan what the ledger at this shared path lacks, append it there, and return the whole ledger.
 
-def extend(ledger_path: str, docs: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
-    """Scan what the ledger at this shared path lacks, append it there, and return the whole ledger."""
+    One writer at a time; a blob that two writers enter at once is there twice, with the same findings.
+    """
     spark = docs.sparkSession
     schema = f"blob binary, rules string, findings {FOUND}"
     have = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     there = have.getFileSystem(spark._jsc.hadoopConfiguration()).exists(have)
     old = spark.read.schema(schema).parquet(ledger_path) if there else None
-    unseen(docs, old, rules).dropDuplicates(["blob", "rules"]).write.mode("append").parquet(ledger_path)
+    unseen(docs, old, rules, id_col, text_col).dropDuplicates(["blob", "rules"]).write.mode("append").parquet(ledger_path)
     return spark.read.schema(schema).parquet(ledger_path)
 
 
-def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with the findings in the text replaced by a mark. A null text stays null."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = findings(docs, keep=rest, **options).drop("blob")
+    rest = tuple(c for c in docs.columns if c != id_col)
+    found = _back(docs, unseen(docs, None, RULES_VERSION, id_col, text_col), id_col, text_col, rest).drop("__blob")
     at = found.columns.index(text_col)
-    fields = docs.select("doc_id", *rest).schema
+    fields = docs.select(id_col, *rest).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

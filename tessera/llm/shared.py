@@ -66,6 +66,13 @@ def carried(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
     return docs.select(F.col(text_col).cast("string").alias("__text"), *rest), fields, places
 
 
+def free(name: str, taken: tuple[str, ...]) -> str:
+    """A name for a column of an operator's own: with underscores behind it where a kept column has that name."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 # --- Arrow batches -------------------------------------------------------------------------------------------------
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,7 @@ SELECT * FROM r WHERE rank <= {k}"""
 
 
 def license_scan() -> str:
-    labels = []
+    labels, step = [], max(len(text.split()) for text, _ in licenses.NOTICES)
     for phrase, label in licenses.PHRASES:
         parts = phrase.split()
         here = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
@@ -61,11 +61,12 @@ def license_scan() -> str:
         members = sorted(set(text.split()))
         least = licenses.need(len(members), licenses.NOTICE_SHARE)
         shared = f"len(list_intersect(w, [{', '.join(repr(m) for m in members)}]))"
-        labels.append(f"SELECT doc_id, '{label}' AS label, NULL AS i, {shared} / {len(members)}.0::DOUBLE AS share FROM d WHERE {shared} >= {least}")
+        labels.append(f"SELECT doc_id, '{label}' AS label, NULL AS i, {shared} / {len(members)}.0::DOUBLE AS share FROM block WHERE {shared} >= {least}")
     union = "\n  UNION ALL ".join(labels)
     return f"""
 WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+block AS (SELECT doc_id, w[j + 1 : j + {2 * step}] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w), {step})) AS j FROM d)),
 f AS ({union}),
 g AS (SELECT doc_id, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL) AS base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CASE WHEN count(i) > 0 THEN 1.0::DOUBLE ELSE max(share) END AS score FROM f GROUP BY doc_id)
