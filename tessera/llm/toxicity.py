@@ -1,21 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words fall into classes (insult, threat, target, negation, report); each rule of the grammar is a small transducer that
-reads the class string of one clause from left to right and writes weighted matches:
-
-* insult and threat transducers write a match for every word of their class;
-* the target transducer, composed behind them, turns a match near a target word into a targeted one;
-* the negation transducer turns a match within a few words after a negation into a negated one;
-* the reported-speech transducer turns every later match of a clause that opens a report into a reported one.
-
-The composition yields one symbol for each match (plain, targeted, negated, reported; insult or threat). A text's
-evidence is the weighted sum over its clauses, with weights fitted by logistic regression towards hand-set ones on a
-bounded sample of labelled rows, and the score is a logistic function of it. Isolated words score less than clauses that
-aim at someone, and quoted or denied ones less again.
-
-The sample: at most `sample` labelled training rows, those of smallest hash. Stems strongly tied to the toxic
-label in it join the insult class. Texts are scored in one narrow pass. Null and empty texts get the score of no evidence. Repeated
-rows get a row each. Without labelled rows the hand-set weights stand.
+Words fall into classes (insult, threat, target, negation, report). A clause is the string of its word classes; five weighted
+transducers read it from left to right, each what the one before wrote:
+
+* insult and threat turn each word of their class into a match, an arc of that weight;
+* target counts the words since a target and marks a match that follows one closely as targeted;
+* negation marks a match within a few words after a negation as negated;
+* reported speech marks every match behind a word of reporting as reported.
+
+They are composed into one machine (`compose`: the product of the states, made before any text is read). A sixth transducer
+reads what that machine wrote from right to left and marks matches that closely precede a target. An arc's weight is a vector
+that counts which marks it made (the weights of a path are added); the machine's weight of a text is the sum over its clauses.
+The score is a logistic function of log(1 + count) of the five marks, fitted by logistic regression towards hand-set weights
+on a bounded sample of labelled rows. So every mark has a weight of its own wherever it combines with others: clauses that aim
+at someone score more than isolated words, and denied or quoted ones less.
+
+The sample: at most `sample` labelled training rows, those of smallest hash. Stems strongly tied to the toxic label in it join
+the insult class. Texts are scored whole, in one narrow pass. Null and empty texts get the score of no evidence. Repeated rows
+get a row each; of training rows that share an id the smallest text counts, with the largest label. Without labelled rows the
+hand-set weights stand. An empty table gives an empty result. A kept column named like one of the operator's own (features,
+score) stays, and the own one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import byte_texts, carried, narrow, pieces, release
+from tessera.llm.shared import byte_texts, carried, free, narrow, pieces, release
 
 #: The lexicon, by class; English first, then German, French and Spanish.
 INSULT = """idiot idiots moron morons stupid pathetic worthless loser losers trash scum clown clowns disgusting dumb fool fools
@@ -44,9 +49,14 @@ TARGET = "you your yours he she they them him her his their this these those du
 NEGATION = "not no never isn aren wasn don doesn didn without nicht kein keine nie pas jamais nunca jamás".split()
 REPORT = "said says say told wrote writes quoted quote claimed called according sagte schrieb dit écrit dijo escribió".split()
 
-INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS = range(1, 6)
-#: Features: (insult, threat) x (plain, targeted, negated, reported); hand-set weights towards which the fit is drawn.
-PRIOR = np.array([3.0, 4.0, 0.6, 1.2, 1.0, 4.0, 0.3, 0.8])
+OTHER, INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS = range(6)
+#: Matches: MATCH, and what is known of them.
+MATCH, THREAT_MATCH, TARGETED, NEGATED, REPORTED = 8, 1, 16, 32, 64
+SYMBOLS = 128
+#: Weights of an arc: which of these marks it makes.
+MARKS = ("insult", "threat", "targeted", "negated", "reported")
+#: Hand-set weights of the marks, towards which the fit is drawn; the signs are kept.
+PRIOR = np.array([3.0, 1.2, 1.2, -2.5, -2.0])
 BIAS = -3.0
 #: Words between a target or a negation and its match.
 NEAR, REACH = 4, 3
@@ -64,38 +74,91 @@ def lexicon() -> dict[bytes, int]:
     return out
 
 
-def clause_matches(classes: list[int]) -> list[int]:
-    """The composed transducer over the word classes of one clause (0: other): a feature number for each match.
+class Transducer:
+    """A sequential weighted transducer: arcs[state][symbol] = (symbol written, next state, weight). State 0 is the first.
 
-    State: words since the last negation, words since the last target, whether a report is open; one word ahead of a
-    match may still aim it, so matches stay pending for NEAR words.
+    A symbol without an arc is written as it is, without weight, and leaves the state as it is.
     """
-    out: list[int] = []
-    pending: list[tuple[int, int]] = []  # (place, feature) of plain matches that a later target may still reach
-    denied = aimed = -1 << 30
-    reported = False
-    for i, kind in enumerate(classes):
-        if not kind:
-            continue
-        if kind == REPORTS:
-            reported = True
-        elif kind == NEGATIONS:
-            denied = i
-        elif kind == TARGETS:
-            aimed = i
-            out += [f + 1 for at, f in pending if i - at <= NEAR] + [f for at, f in pending if i - at > NEAR]
-            pending = []
-        else:
-            base = 0 if kind == INSULTS else 4
-            if i - denied <= REACH:
-                out.append(base + 2)
-            elif reported:
-                out.append(base + 3)
-            elif i - aimed <= NEAR:
-                out.append(base + 1)
-            else:
-                pending.append((i, base))
-    return out + [f for _, f in pending]
+
+    def __init__(self, arcs: list[dict[int, tuple[int, int, tuple[int, ...]]]]):
+        self.arcs = arcs
+
+    def arc(self, state: int, symbol: int) -> tuple[int, int, tuple[int, ...]]:
+        return self.arcs[state].get(symbol) or (symbol, state, NOTHING)
+
+    def run(self, symbols: list[int]) -> tuple[list[int], list[int]]:
+        """What is written, and the weight of the path."""
+        state, out, weight = 0, [], [0] * len(MARKS)
+        for symbol in symbols:
+            symbol, state, w = self.arc(state, symbol)
+            out.append(symbol)
+            if w is not NOTHING:
+                weight = [a + b for a, b in zip(weight, w, strict=True)]
+        return out, weight
+
+
+def one(mark: str) -> tuple[int, ...]:
+    return tuple(int(m == mark) for m in MARKS)
+
+
+NOTHING = (0,) * len(MARKS)
+WORDS_READ = range(6)
+MATCHES_READ = [s for s in range(SYMBOLS) if s & MATCH]
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """The machine that does what `first` and `then` do one after the other: states are pairs that can be reached."""
+    numbers, arcs, todo = {(0, 0): 0}, [{}], [(0, 0)]
+    while todo:
+        at = todo.pop()
+        for symbol in [*WORDS_READ, *MATCHES_READ]:
+            middle, a, w = first.arc(at[0], symbol)
+            written, b, v = then.arc(at[1], middle)
+            if (a, b) not in numbers:
+                numbers[a, b] = len(arcs)
+                arcs.append({})
+                todo.append((a, b))
+            weight = tuple(x + y for x, y in zip(w, v, strict=True))
+            arcs[numbers[at]][symbol] = (written, numbers[a, b], weight if any(weight) else NOTHING)
+    return Transducer(arcs)
+
+
+def matcher(kind: int, match: int, mark: str) -> Transducer:
+    """Turns words of a class into matches."""
+    return Transducer([{kind: (match, 0, one(mark))}])
+
+
+def marker(opens: int, flag: int, mark: str, reach: int | None) -> Transducer:
+    """Marks matches that come up to `reach` words behind a word of the class `opens` (None: anywhere behind it).
+
+    State 0: no such word in reach; state k: k more words are.
+    """
+    arcs: list[dict] = []
+    for state in range(2 if reach is None else reach + 1):
+        left = state if reach is None else max(0, state - 1)
+        here = {}
+        for s in [*WORDS_READ, *MATCHES_READ]:
+            fresh = state and s & MATCH and not s & flag
+            here[s] = (s | flag if fresh else s, left, one(mark) if fresh else NOTHING)
+        here[opens] = (opens, 1 if reach is None else reach, NOTHING)
+        arcs.append(here)
+    return Transducer(arcs)
+
+
+def machines() -> tuple[Transducer, Transducer]:
+    """The composed machine, left to right, and the one that marks matches ahead of a target, right to left."""
+    chain = [
+        matcher(INSULTS, MATCH, "insult"), matcher(THREATS, MATCH | THREAT_MATCH, "threat"), marker(TARGETS, TARGETED, "targeted", NEAR),
+        marker(NEGATIONS, NEGATED, "negated", REACH), marker(REPORTS, REPORTED, "reported", None),
+    ]
+    return reduce(compose, chain), marker(TARGETS, TARGETED, "targeted", NEAR)
+
+
+def clause_marks(classes: list[int], both: tuple[Transducer, Transducer]) -> list[int]:
+    """Number of marks of each kind in one clause."""
+    out, weight = both[0].run(classes)
+    _, more = both[1].run(out[::-1])
+    return [a + b for a, b in zip(weight, more, strict=True)]
 
 
 class Grammar:
@@ -105,21 +168,23 @@ class Grammar:
         self.words = lexicon()
         self.stems = {w.encode() for w in stems}
         self.lengths = sorted({len(w) for w in self.stems})
+        self.machines = machines()
         self.triggers = frozenset(w for w, k in self.words.items() if k in (INSULTS, THREATS))
 
     def kind(self, word: bytes) -> int:
         return self.words.get(word, 0) or (INSULTS if any(word[:n] in self.stems for n in self.lengths) else 0)
 
     def features(self, text: bytes) -> list[int]:
-        """Number of matches by feature over all clauses of the text."""
+        """Number of marks of each kind over all clauses of the text."""
         out = [0] * len(PRIOR)
         words = set(text.translate(_SPLIT).split())
         if self.triggers.isdisjoint(words) and all(self.stems.isdisjoint({w[:n] for w in words}) for n in self.lengths):
             return out
         kinds = {w: self.kind(w) for w in words}
         for clause in _CLAUSE.split(text.translate(_LOWER)):
-            for f in clause_matches([kinds[w] for w in _WORD.findall(clause)]):
-                out[f] += 1
+            classes = [kinds[w] for w in _WORD.findall(clause)]
+            if INSULTS in classes or THREATS in classes:
+                out = [a + b for a, b in zip(out, clause_marks(classes, self.machines), strict=True)]
         return out
 
 
@@ -127,7 +192,7 @@ def with_features(docs: DataFrame, learned: tuple[str, ...] = (), id_col: str =
     """(id, columns named in `keep`, features array<int>) of every row."""
     narrow(docs.sparkSession)
     kept, own, places = carried(docs, id_col, text_col, keep)
-    fields = T.StructType([*own, T.StructField("features", T.ArrayType(T.IntegerType()))])
+    fields = T.StructType([*own, T.StructField(free("features", (id_col, *keep)), T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
@@ -202,14 +267,14 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.02) -> tuple[np.ndarray, f
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return np.maximum(w[:-1], 0), float(w[-1])
+    return np.where(PRIOR > 0, np.maximum(w[:-1], 0), np.minimum(w[:-1], 0)), float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple[str, ...], np.ndarray, float]:
     """Learned insult words, weights and bias from at most `sample` labelled rows among those where `usable` holds."""
     chosen = labels.where("toxic is not null").where(usable).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).persist()
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "toxic").agg(F.min("text").alias("text")).persist()
     try:
         learned = learned_stems(rows)
         seen = with_features(rows, learned, "__id").join(F.broadcast(chosen), "__id").groupBy("features", "toxic").count().collect()
@@ -227,7 +292,8 @@ def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray, float], id_
     """(id, columns named in `keep`, features, score double in 0 to 1) of every row."""
     learned, weights, bias = model
     found = with_features(docs, learned, id_col, text_col, keep)
+    features, own = (free(c, (id_col, *keep)) for c in ("features", "score"))
     evidence = F.lit(float(bias))
     for k, w in enumerate(weights):
-        evidence = evidence + F.log1p(F.get("features", F.lit(k)).cast("double")) * float(w)
-    return found.select(id_col, *keep, "features", (1 / (1 + F.exp(-evidence))).alias("score"))
+        evidence = evidence + F.log1p(F.get(features, F.lit(k)).cast("double")) * float(w)
+    return found.select(id_col, *keep, features, (1 / (1 + F.exp(-evidence))).alias(own))

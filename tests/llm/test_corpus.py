@@ -150,12 +150,21 @@ def test_licenses(docs, empty):
     spark = docs.sparkSession
     notice = spark.createDataFrame([(1, licenses.NOTICES[3][0].upper()), (2, " ".join(licenses.NOTICES[3][0].split()[:6]))], "doc_id long, text string")
     assert {r.doc_id: [n["label"] for n in r.notices] for r in licenses.scan(notice).collect()} == {1: ["bsd"], 2: []}
+    far = "work is licensed under a creative".split() + ["x"] * 200 + "commons attribution international license this".split()
+    text = " ".join(["y"] * 101 + licenses.NOTICES[5][0].split() + ["z"] * 50)
+    near = spark.createDataFrame([(1, " ".join(far)), (2, text), (3, text.replace("work", "wor\u212a"))], "doc_id long, text string")
+    found = {r.doc_id: r.notices for r in licenses.scan(near).collect()}
+    assert found[1] == [] and [(n.label, n.containment) for n in found[2]] == [("cc-by", 1.0)] and found[2][0].start <= 101 < found[2][0].end
+    assert [n.containment < 1 for n in found[3]] == [True]
 
 
 def test_toxicity(spark, empty):
-    assert toxicity.clause_matches([0, 1, 0]) == [0]
-    assert toxicity.clause_matches([3, 0, 1]) == [1] and toxicity.clause_matches([1, 3]) == [1]
-    assert toxicity.clause_matches([4, 1]) == [2] and toxicity.clause_matches([5, 0, 1]) == [3]
+    both = toxicity.machines()
+    marks = lambda *classes: dict(zip(toxicity.MARKS, toxicity.clause_marks(list(classes), both), strict=True))
+    assert [k for k, n in marks(0, 1, 0).items() if n] == ["insult"] and marks(2, 2)["threat"] == 2
+    assert marks(3, 0, 1)["targeted"] == marks(1, 0, 3)["targeted"] == marks(3, 1, 3)["targeted"] == 1
+    assert marks(3, 0, 0, 0, 0, 1)["targeted"] == 0 and marks(4, 1)["negated"] == 1 and marks(4, 0, 0, 0, 1)["negated"] == 0
+    assert marks(5, 0, 0, 0, 0, 1) | marks(1, 5) == marks(1, 5) and marks(5, 0, 0, 0, 0, 1)["reported"] == 1 and marks(1, 5)["reported"] == 0
     rows = [(i, (sentence(20) + (" you idiot" if i % 3 == 0 else "")), int(i % 3 == 0)) for i in range(120)] + [(500, None, 0), (501, "", 0)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(table, table.select("doc_id", "toxic"), F.col("doc_id") % 2 == 0)
@@ -165,6 +174,45 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_composition_is_one_transducer_after_the_other():
+    parts = [toxicity.matcher(1, 8, "insult"), toxicity.matcher(2, 9, "threat"), toxicity.marker(3, 16, "targeted", 4), toxicity.marker(4, 32, "negated", 3), toxicity.marker(5, 64, "reported", None)]
+    whole, _ = toxicity.machines()
+    for _ in range(300):
+        symbols = [RNG.randrange(6) for _ in range(RNG.randrange(20))]
+        out, total = symbols, np.zeros(5, int)
+        for p in parts:
+            out, w = p.run(out)
+            total += w
+        assert whole.run(symbols) == (out, total.tolist())
+
+
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = queries()["op5_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null").select("score", "toxic", "predicted").collect()
+    good, bad = ([r.score for r in rows if r.toxic == t] for t in (0, 1))
+    assert len(good) > 500 and len(bad) > 50
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.88
+    assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.05
+
+
+def test_toxicity_ties_and_names(spark):
+    rows = [(i, ("you idiot " if i % 2 else "fine day ") + str(i), i % 2) for i in range(40)] + [(3, "good morning", 0), (3, "you idiot 3", 1)]
+    a, b = (spark.createDataFrame(x, "doc_id long, text string, toxic int").repartition(n) for x, n in ((rows, 1), (rows[::-1], 5)))
+    one, two = (toxicity.train(t.select("doc_id", "text"), t.select("doc_id", "toxic"), F.lit(True)) for t in (a, b))
+    assert one[0] == two[0] and np.allclose(one[1], two[1]) and one[2] == pytest.approx(two[2])
+    clash = a.withColumn("features", F.lit("x")).withColumn("score", F.lit("y"))
+    assert toxicity.score(clash, one, keep=("features", "score")).columns == ["doc_id", "features", "score", "features_", "score_"]
+
+
+def test_kept_columns_may_have_any_name(spark, docs):
+    clash = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("blob", "findings", "spans", "items", "n_words", "ids", "decoded")])
+    assert {r.findings for r in secrets.redact(clash).collect()} == {"findings"}
+    assert secrets.findings(clash, keep=("findings", "blob")).columns == ["doc_id", "blob_", "findings_", "findings", "blob"]
+    bench = spark.createDataFrame([("i", BASE[2])], "item_id string, text string")
+    assert {(r.spans, r.n_words) for r in decontaminate.find(clash, bench, keep=("spans", "n_words")).collect()} == {("spans", "n_words")}
+    assert {r.ids for r in bpe.tokenize(clash, tokenizer_file(), keep=("ids",)).collect()} == {"ids"}
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 50)])
 @pytest.mark.parametrize("block", [3, 1000])
 def test_jaccard(docs, empty, n, percent, block):
@@ -254,16 +302,25 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert all(not r.spans for r in decontaminate.find(docs, bench.where("false")).collect())
 
 
-def test_secrets(docs, empty, tmp_path):
+def test_secrets(docs, empty, tmp_path, monkeypatch):
     rows = secrets.findings(docs).collect()
     assert len(rows) == len(ROWS)
     for r in rows:
         assert [(f["kind"], f["start"], f["end"]) for f in r.findings] == secrets.scan_text(TEXTS[r.doc_id] or "")
     assert secrets.scan_text("token=secret=abcdefghijkl") == [("assign", 0, 25)]
     assert secrets.scan_text("paſſword=abcdefghijklmnop") == []
-    first = secrets.extend(str(tmp_path / "ledger"), docs).count()
+    path = str(tmp_path / "ledger")
+    first = secrets.extend(path, docs).count()
     assert first == len({t or "" for t in TEXTS})
-    assert secrets.extend(str(tmp_path / "ledger"), docs).count() == first
+    new = docs.union(docs.sparkSession.createDataFrame([(900, "secret: abcdefghijklmn", ""), (901, "", "")], SCHEMA))
+    assert secrets.unseen(new, docs.sparkSession.read.parquet(path)).count() == 1
+    for few in ((200_000, 1_000_000), (0, 0)):  # findings by broadcast, and by a shuffle
+        monkeypatch.setattr(secrets, "FEW", few)
+        found = {(r.doc_id, tuple(map(tuple, r.findings))) for r in secrets.scan(new, path).collect()}
+        assert found == {(d, tuple(secrets.scan_text(t or ""))) for d, t, _ in [*ROWS, (900, "secret: abcdefghijklmn", ""), (901, "", "")]}
+    assert secrets.extend(path, docs).count() == first + 1
+    assert secrets.extend(path, docs, rules="other").count() == 2 * first + 1  # a new version of the rules sees all anew
+    assert secrets.findings(docs, secrets.extend(path, docs)).count() == len(ROWS)
     assert secrets.findings(empty).count() == 0
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[0] is None and not any(secrets.scan_text(t or "") for t in clean.values())
