@@ -1,21 +1,26 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids.
 
 Subwords tile the bytes of a text: a word with the one space before it, or a run of other white space, cut every `PIECE`
-bytes. Their counts over all training texts give the subword table (the TABLE most frequent, a bound on what is broadcast)
-and, with shape and frequency, a class for each subword. The probability of a subword is that of its class given what
-came before, times that of the subword within its class (add-one counts; subwords outside the table share a class for
-each shape, where counted ones have their count, met in a join, and what is left over is spelled byte by byte). An end mark closes every text, so the score is the log10 probability of the whole text.
-
-Classes are predicted by one layer of causal self-attention. Texts are scored in overlapping windows of WINDOW ids: each
-window scores its last STRIDE ids and sees the WINDOW - STRIDE ones before them, so each id is scored once; windows are
-taken in batches under one mask. The model is trained with every window of every training text; every task takes Adam
-steps from the common start over its windows as they come, and the models are averaged by their numbers of windows.
+bytes. Their counts over all training texts give the subword table (the TABLE most frequent, a bound on what is broadcast).
+The model reads ids: the IDS most frequent subwords have an embedding of their own, the others share that of their class
+(shape and frequency bin). It predicts an id in three steps: its class, its slot within the class (up to SLOTS, the most
+frequent subwords of a class have one of their own), both by a softmax over the attention's state, and the id within its slot
+by add-one counts. Subwords outside the table share a class for each shape, where counted ones have their count, met in a
+join, and what is left over is spelled byte by byte. An end mark closes every text, so the score is the log10 probability of
+the whole text, and over all texts of a given length of ids the probabilities add up to one.
+
+The attention is one causal layer. Texts are scored in overlapping windows of WINDOW ids: each window scores its last STRIDE
+ids and sees the WINDOW - STRIDE ones before them, so each id is scored once; windows are taken in batches under one mask. The
+model is trained with every window of every training text; every task takes Adam steps from the common start over its windows
+as they come, and the models are averaged by their numbers of windows. So the fit depends on how the input is dealt into
+tasks (it is the same for the same files and settings).
 
 The word unigram baseline counts all words of the training texts. The HEAD most frequent words (a bound on what is
 broadcast) are looked up where the texts are; rarer words, few for each text, meet their counts in a join.
 
-Null is the empty text: one end mark. Repeated rows get a row each; extra columns are ignored. Without training texts
-counts are zero and the model stays at its start.
+Null is the empty text: one end mark. Texts are read whole, a very long one alone in its batch. Repeated rows get a row each;
+extra columns are ignored. Without training texts counts are zero and the model stays at its start. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import SPACED, U64, as_long, durable, pieces, row_key, text_bytes, word_hashes
 
-PIECE, TABLE, HEAD, GATHER = 5, 1 << 17, 1 << 20, 1 << 21
+PIECE, TABLE, HEAD, GATHER = 7, 1 << 17, 1 << 20, 1 << 21
 WINDOW, STRIDE, WIDTH = 24, 16, 16
 #: Classes: shape (2 x 2) by frequency bin, spelled subwords by shape, end mark, start mark.
 BINS = 12
 SPELLED, END, START = 4 * BINS, 4 * BINS + 4, 4 * BINS + 5
 CLASSES = START + 1
+#: Subwords with an embedding of their own, and slots of a class, of which OWN hold one subword where it has more.
+IDS, SLOTS, OWN = 2048, 64, 48
 WORD, SUBWORD = 0, 1
 
 
@@ -72,7 +79,7 @@ def shape(key: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Classes and log10 probabilities within them of the subwords kept.
+    """Embedding rows, classes and slots of the subwords kept, and their log10 probabilities within their slots.
 
     `rest` holds, for each shape, how many counted subwords are not kept and how often they occur: those of the shape have
     (count + (many + 1) * spelled) / (occurrences + many + 1), which is what is spelled where all are kept.
@@ -87,48 +94,61 @@ class Table:
         mass = np.cumsum(-np.sort(-counts)) / max(1.0, counts.sum())
         bins = np.minimum(BINS - 1, (mass[rank] * BINS).astype(np.int64)) if len(counts) else rank
         self.classes = (shape(self.keys) * BINS + bins).astype(np.uint8)
-        total = np.bincount(self.classes, counts + 1, CLASSES)
-        self.within = np.log10((counts + 1) / total[self.classes])
+        order = np.lexsort((rank, self.classes))
+        place = np.empty(len(counts), np.int64)
+        sizes = np.bincount(self.classes, minlength=CLASSES)
+        place[order] = np.arange(len(counts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        shared = (place >= OWN) & (sizes[self.classes] > SLOTS)
+        slot = np.where(shared, OWN + place % (SLOTS - OWN), place)
+        self.codes = (self.classes.astype(np.int64) * SLOTS + slot).astype(np.uint16)
+        self.slots = np.clip(sizes, 1, SLOTS)
+        total = np.bincount(self.codes, counts + 1, CLASSES * SLOTS)
+        self.within = np.log10((counts + 1) / total[self.codes])
+        self.rows = np.where(rank < IDS, CLASSES + rank, self.classes).astype(np.uint16)
         spelled = np.ones(256)
         for k in range(PIECE):
             on = (self.keys >> U64(8 * PIECE)) > k
             spelled += np.bincount(((self.keys[on] >> U64(8 * k)) & U64(255)).astype(np.int64), counts[on], 256)
         self.bytes = np.log10(spelled / spelled.sum())
 
-    def read(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log10 probability within it; for subwords that `open` marks, that of their bytes."""
+    def read(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding row, code (class and slot) and log10 probability within the slot; for subwords whose class `open`
+        marks, that of their bytes."""
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             miss = np.flatnonzero(self.keys[at] != key)
-            classes, within = self.classes[at], self.within[at]
+            rows, codes, within = self.rows[at], self.codes[at], self.within[at]
         else:
-            miss, classes, within = np.arange(len(key)), np.zeros(len(key), np.uint8), np.zeros(len(key))
+            miss, rows, codes, within = np.arange(len(key)), np.zeros(len(key), np.uint16), np.zeros(len(key), np.uint16), np.zeros(len(key))
         if len(miss):
             odd = key[miss]
             form, size = shape(odd), odd >> U64(8 * PIECE)
-            classes[miss] = SPELLED + form
+            rows[miss], codes[miss] = SPELLED + form, (SPELLED + form) * SLOTS
             spelled = np.where(form & 1, 0.0, np.log10(1 / (PIECE - 1)))  # the length, where the shape leaves it open
             for k in range(PIECE):
                 spelled += np.where((size > k) & ((k > 0) | (form < 2)), self.bytes[((odd >> U64(8 * k)) & U64(255)).astype(np.int64)], 0.0)
             within[miss] = spelled
-        return classes, within
+        return rows, codes, within
 
-    def open(self, classes: np.ndarray) -> np.ndarray:
+    def open(self, codes: np.ndarray) -> np.ndarray:
         """Is it of a class whose subwords may have counts that are not kept here."""
         on = np.zeros(CLASSES, bool)
         on[SPELLED:END] = self.rest[:, 0] > 0
-        return on[classes]
+        return on[codes // SLOTS]
 
 
 # --- the model -----------------------------------------------------------------------------------------------------
 
-SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (1, CLASSES)}
+SHAPES = {
+    "embed": (CLASSES + IDS, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
+    "out": (WIDTH, CLASSES), "bias": (1, CLASSES), "slot": (CLASSES, SLOTS, WIDTH), "slot_bias": (CLASSES, SLOTS),
+}
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32).T[:, None].copy()
 
 
 def start(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k == "bias" else rng.standard_normal(s) / np.sqrt(WIDTH)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (np.zeros(s) if "bias" in k else rng.standard_normal(s) / np.sqrt(WIDTH)).astype(np.float32) for k, s in SHAPES.items()}
 
 
 def flat(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -138,7 +158,7 @@ def flat(model: dict[str, np.ndarray]) -> np.ndarray:
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
-        n = s[0] * s[1]
+        n = int(np.prod(s))
         out[k] = np.asarray(x[at : at + n], np.float32).reshape(s)
         at += n
     return out
@@ -171,18 +191,49 @@ def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tupl
     return z.reshape(-1, *h.shape[:2]), (x, tail, q, k, v, a, y, h)
 
 
-def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy over the positions of weight 1."""
+def by_class(goal: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, its slots, positions, slots there) of the goals whose class has several slots."""
+    kind = goal // SLOTS
+    order = np.argsort(kind, kind="stable")
+    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    for c in range(CLASSES):
+        if slots[c] > 1 and cuts[c] < cuts[c + 1]:
+            at = order[cuts[c] : cuts[c + 1]]
+            yield c, int(slots[c]), at, (goal[at] % SLOTS).astype(np.int64)
+
+
+def slot_logits(m: dict[str, np.ndarray], c: int, many: int, x: np.ndarray) -> np.ndarray:
+    """(slots, positions), the largest of each position being zero."""
+    z = m["slot"][c, :many] @ x.T
+    z += m["slot_bias"][c, :many, None]
+    z -= z.max(axis=0)
+    return z
+
+
+def gradients(m: dict[str, np.ndarray], slots: np.ndarray, ids: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy (of class, and of slot within it) over the positions of weight 1."""
     z, (x, tail, q, k, v, a, y, h) = forward(m, ids)
     z -= z.max(axis=0)
     p = np.exp(z, out=z)
     p /= p.sum(axis=0)
     dz = p.reshape(len(p), -1)
-    dz[goal.ravel(), np.arange(goal.size)] -= 1
-    dz *= (weight / max(1.0, weight.sum())).astype(np.float32).ravel()
+    flat_goal = goal.ravel()
+    dz[flat_goal // SLOTS, np.arange(goal.size)] -= 1
+    share = (weight / max(1.0, weight.sum())).astype(dz.dtype).ravel()
+    dz *= share
     two = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": (dz @ two(h)).T, "bias": dz.sum(1)[None, :]}
-    dh = (dz.T @ m["out"].T).reshape(h.shape)
+    state = two(h)
+    g = {"out": (dz @ state).T, "bias": dz.sum(1)[None, :], "slot": np.zeros_like(m["slot"]), "slot_bias": np.zeros_like(m["slot_bias"])}
+    dh = dz.T @ m["out"].T
+    for c, many, at, slot in by_class(flat_goal, slots):
+        e = np.exp(slot_logits(m, c, many, state[at]))
+        e /= e.sum(axis=0)
+        e[slot, np.arange(len(at))] -= 1
+        e *= share[at]
+        g["slot"][c, :many] = e @ state[at]
+        g["slot_bias"][c, :many] = e.sum(axis=1)
+        dh[at] += e.T @ m["slot"][c, :many]
+    dh = dh.reshape(h.shape)
     g["o"] = two(y).T @ two(dh)
     dy = _times(dh, m["o"].T)
     da = np.ascontiguousarray((v @ dy.transpose(0, 2, 1)).transpose(1, 0, 2))
@@ -195,9 +246,11 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, weigh
     dx = _times(dk, m["k"].T) + _times(dv, m["v"].T)
     dx[:, -STRIDE:] += dh + _times(dq, m["q"].T)
     g["place"] = dx.sum(0)
-    hot = np.zeros((ids.size, len(m["embed"])), dx.dtype)
-    hot[np.arange(ids.size), ids.ravel()] = 1
-    g["embed"] = hot.T @ two(dx)
+    order = np.argsort(ids, axis=None, kind="stable")
+    sorted_ids = ids.ravel()[order]
+    new = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+    g["embed"] = np.zeros_like(m["embed"])
+    g["embed"][sorted_ids[new]] = np.add.reduceat(two(dx)[order], new)
     return g
 
 
@@ -207,7 +260,8 @@ class Adam:
     Where all windows are fewer than `least_steps` batches, they are gone over several times.
     """
 
-    def __init__(self, m: dict[str, np.ndarray], batch: int = 32, rate: float = 0.01, least_steps: int = 60, hold: int = 1 << 16):
+    def __init__(self, m: dict[str, np.ndarray], slots: np.ndarray, batch: int = 256, rate: float = 0.02, least_steps: int = 60, hold: int = 1 << 15):
+        self.slots = slots
         self.flat = flat(m)
         self.one, self.two = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.batch, self.rate, self.least_steps, self.hold = batch, np.float32(rate), least_steps, max(hold, batch * least_steps)
@@ -228,7 +282,7 @@ class Adam:
         for at in range(0, len(ids), self.batch):
             self.step += 1
             b = order[at : at + self.batch]
-            g = flat(gradients(m, ids[b], goal[b].astype(np.int64), weight[b]))
+            g = flat(gradients(m, self.slots, ids[b], goal[b], weight[b]))
             self.one += np.float32(0.1) * (g - self.one)
             self.two += np.float32(0.01) * (g * g - self.two)
             self.flat -= self.rate * (self.one / np.float32(1 - 0.9**self.step)) / (np.sqrt(self.two / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
@@ -241,8 +295,8 @@ class Adam:
         return unflat(self.flat)
 
 
-def windows(classes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (windows, WINDOW), goals and weights (windows, STRIDE), and the text of each window.
+def windows(rows: np.ndarray, codes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows (windows, WINDOW), goals (codes) and weights (windows, STRIDE), and the text of each window.
 
     Every text is led by start marks and closed by its end mark; the last window is filled up with weight 0.
     """
@@ -251,29 +305,37 @@ def windows(classes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndar
     many = (counts + STRIDE) // STRIDE  # windows for counts + 1 goals
     size = lead + many * STRIDE
     base = np.concatenate([[0], np.cumsum(size)])
-    tape = np.full(base[-1], START, np.uint8)
     rank = np.arange(len(owner)) - np.concatenate([[0], np.cumsum(counts)])[owner]
-    tape[base[owner] + lead + rank] = classes
-    tape[base[:-1] + lead + counts] = END
+    place = base[owner] + lead + rank
+    read, goals = np.full(base[-1], START, np.uint16), np.full(base[-1], START * SLOTS, np.uint16)
+    read[place], goals[place] = rows, codes
+    end = base[:-1] + lead + counts
+    read[end], goals[end] = END, END * SLOTS
     text = np.repeat(np.arange(texts), many)
     k = np.arange(len(text)) - np.concatenate([[0], np.cumsum(many)[:-1]])[text]
     at = base[text] + k * STRIDE
-    goal_at = at[:, None] + lead + np.arange(STRIDE)
     weight = (k * STRIDE)[:, None] + np.arange(STRIDE) <= counts[text][:, None]
-    return tape[at[:, None] + np.arange(WINDOW)], tape[goal_at].astype(np.int64), weight.astype(np.float32), text
+    return read[at[:, None] + np.arange(WINDOW)], goals[at[:, None] + lead + np.arange(STRIDE)], weight.astype(np.float32), text
 
 
-def class_scores(m: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, weight: np.ndarray, batch: int = 1024) -> np.ndarray:
-    """Sum of the log10 probabilities of the goals of each window."""
+def id_scores(m: dict[str, np.ndarray], slots: np.ndarray, ids: np.ndarray, goal: np.ndarray, weight: np.ndarray, batch: int = 1024) -> np.ndarray:
+    """Sum of the log10 probabilities of the goals' classes and slots over each window."""
     out = np.zeros(len(ids))
-    for at in range(0, len(ids), batch):
-        z, _ = forward(m, ids[at : at + batch])
-        hit = np.take_along_axis(z, goal[None, at : at + batch], 0)[0]
+    for lo in range(0, len(ids), batch):
+        z, cache = forward(m, ids[lo : lo + batch])
+        now = goal[lo : lo + batch]
+        hit = np.take_along_axis(z, (now // SLOTS).astype(np.int64)[None], 0)[0]
         top = z.max(axis=0)
         z -= top
         np.exp(z, out=z)
         hit -= np.log(z.sum(axis=0)) + top
-        out[at : at + batch] = (hit * weight[at : at + batch]).sum(axis=1, dtype=np.float64)
+        state, more = cache[-1].reshape(-1, WIDTH), np.zeros(now.size, hit.dtype)
+        for c, many, at, slot in by_class(now.ravel(), slots):
+            e = slot_logits(m, c, many, state[at])
+            own = e[slot, np.arange(len(at))]
+            np.exp(e, out=e)
+            more[at] = own - np.log(e.sum(axis=0))
+        out[lo : lo + batch] = ((hit + more.reshape(hit.shape)) * weight[lo : lo + batch]).sum(axis=1, dtype=np.float64)
     return out / np.log(10)
 
 
@@ -329,12 +391,12 @@ def rest_counts(counts: DataFrame, kept: np.ndarray) -> np.ndarray:
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = shared.value
-        fit = Adam(model)
+        fit = Adam(model, table.slots)
         for batch in pieces(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             key, owner = subwords(data, offsets)
-            ids, goal, weight, _ = windows(table.read(key)[0], owner, batch.num_rows)
-            fit.add(ids, goal.astype(np.uint8), weight)
+            ids, goal, weight, _ = windows(*table.read(key)[:2], owner, batch.num_rows)
+            fit.add(ids, goal, weight)
         if fit.n:
             found = flat(fit.model()).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array([fit.n], pa.int64()), pa.array([found.tolist()], pa.list_(pa.float64()))], ["n", "model"])
@@ -399,12 +461,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             known = np.bincount(doc[hit], minlength=m) + (texts > 0)
             rare, who, times = distinct(w[~hit], doc[~hit])
             key, owner = subwords(data, offsets)
-            classes, within = table.read(key)
-            ids, goal, weight, text = windows(classes, owner, m)
-            ask = table.open(classes)
+            read, codes, within = table.read(key)
+            ids, goal, weight, text = windows(read, codes, owner, m)
+            ask = table.open(codes)
             sub, whose, often = distinct(key[ask], owner[ask])
-            spelled = table.read(sub)[1]
-            own = np.bincount(owner[~ask], within[~ask], m) + np.bincount(text, class_scores(attention, ids, goal, weight), m)
+            spelled = table.read(sub)[2]
+            own = np.bincount(owner[~ask], within[~ask], m) + np.bincount(text, id_scores(attention, table.slots, ids, goal, weight), m)
             rid = np.asarray(batch.column("rid"))
             t, u = len(rare), len(sub)
             none = np.zeros(t + u)

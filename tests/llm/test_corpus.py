@@ -262,23 +262,82 @@ def test_lm(docs, empty):
     assert lm.score(empty, lm.train(empty, F.lit(True))).count() == 0
 
 
-def test_lm_probabilities_and_gradients():
-    m = lm.start()
+def small_table():
+    keys = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x0100010001) | np.uint64(4 << 8 * lm.PIECE)
+    return lm.Table(keys, 1 + (np.arange(399) * 7919) % 300)
+
+
+def test_lm_probabilities_of_the_next_id_add_up_to_one():
+    table, m = small_table(), lm.start()
+    m["slot_bias"] += np.random.default_rng(2).standard_normal(m["slot_bias"].shape).astype(np.float32)
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, lm.CLASSES + lm.IDS, (1, lm.WINDOW))
+    codes = [c * lm.SLOTS + s for c in range(lm.CLASSES) for s in range(table.slots[c])]
+    one = np.eye(1, lm.STRIDE, 3, dtype=np.float32)
+    p = {code: 10 ** lm.id_scores(m, table.slots, ids, np.full((1, lm.STRIDE), code, np.uint16), one)[0] for code in codes}
+    assert sum(p.values()) == pytest.approx(1, abs=1e-3)
+    _, of, within = table.read(table.keys)
+    for code in set(of.tolist()):
+        assert (10 ** within[of == code]).sum() == pytest.approx(1)
+    assert {int(c) // lm.SLOTS for c in of} <= set(range(lm.SPELLED)) and len(set(of.tolist())) > 100
+
+
+def test_lm_score_by_brute_force():
+    """Every id scored once, from the ids before it in its window: the same by one plain attention for each place."""
+    table, m = small_table(), {k: v.astype(np.float64) for k, v in lm.start().items()}
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 15, 16, 17, 50]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    keys = rng.choice(table.keys, len(owner))
+    rows, codes, _ = table.read(keys)
+    ids, goal, weight, text = lm.windows(rows, codes, owner, len(sizes))
+    got = np.bincount(text, lm.id_scores(m, table.slots, ids, goal, weight), len(sizes))
+    for t in range(len(sizes)):
+        seen = [lm.START] * (lm.WINDOW - lm.STRIDE + 1) + rows[owner == t].tolist() + [lm.END]
+        goals = codes[owner == t].tolist() + [lm.END * lm.SLOTS]
+        total = 0.0
+        for i, code in enumerate(goals):
+            window = i // lm.STRIDE * lm.STRIDE  # where the window of this place begins
+            now = seen[window : i + lm.WINDOW - lm.STRIDE + 1]
+            x = m["embed"][now] + m["place"][: len(now)]
+            a = (x[-1] @ m["q"]) @ (x @ m["k"]).T / np.sqrt(lm.WIDTH)
+            a = np.exp(a - a.max())
+            h = x[-1] + (a / a.sum()) @ (x @ m["v"]) @ m["o"]
+            z = h @ m["out"] + m["bias"][0]
+            c, slot = divmod(code, lm.SLOTS)
+            total += z[c] - np.log(np.exp(z).sum())
+            if table.slots[c] > 1:
+                u = (m["slot"][c] @ h + m["slot_bias"][c])[: table.slots[c]]
+                total += u[slot] - np.log(np.exp(u).sum())
+        assert got[t] == pytest.approx(total / np.log(10), rel=1e-6)
+
+
+def test_lm_gradients():
+    table, m = small_table(), lm.start()
     rng = np.random.default_rng(0)
-    ids, goal, weight = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.STRIDE)), np.ones((3, lm.STRIDE), np.float32)
-    total = sum(10 ** lm.class_scores(m, ids[:1], np.r_["1", [[c] * lm.STRIDE]], np.eye(1, lm.STRIDE, 3, dtype=np.float32))[0] for c in range(lm.CLASSES))
-    assert total == pytest.approx(1, abs=1e-4)
+    ids, weight = rng.integers(0, lm.CLASSES + lm.IDS, (3, lm.WINDOW)), np.ones((3, lm.STRIDE), np.float32)
+    goal = rng.choice(table.codes, (3, lm.STRIDE))
     wide = {k: v.astype(np.float64) for k, v in m.items()}
-    g = lm.gradients(wide, ids, goal, weight)
+    g = lm.gradients(wide, table.slots, ids, goal, weight)
     for k in wide:
-        for _ in range(3):
+        for t in range(4):
             at = tuple(rng.integers(0, s) for s in wide[k].shape)
+            at = {"embed": (ids[t % 3, -2], at[-1]), "slot": (goal[t % 3, 2] // lm.SLOTS, *at[1:]), "slot_bias": (goal[t % 3, 2] // lm.SLOTS, at[-1])}.get(k, at)
             loss = []
             for e in (1e-4, -1e-4):
                 changed = {n: v.copy() for n, v in wide.items()}
                 changed[k][at] += e
-                loss.append(-lm.class_scores(changed, ids, goal, weight).sum() * np.log(10) / weight.sum())
-            assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=2e-4)
+                loss.append(-lm.id_scores(changed, table.slots, ids, goal, weight).sum() * np.log(10) / weight.sum())
+            assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=2e-4), k
+
+
+def test_lm_context_matters_and_known_order_is_likelier(spark):
+    """Subwords of one class, the same counts: the order that training texts have scores higher."""
+    order = "red green blue gold pink grey"
+    rows = [(i, " ".join([order] * 12)) for i in range(30)] + [(100, " ".join([order] * 4)), (101, " ".join(["gold red grey green pink blue"] * 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, F.col("doc_id") < 100)).collect()}
+    assert score[100] > score[101] + 1
 
 
 @pytest.mark.parametrize("block_bytes", [8 << 20, 120])

@@ -15,20 +15,20 @@ def test_lm_trains_on_every_window():
     data, offsets = text_bytes(texts)
     key, owner = lm.subwords(data, offsets)
     table = lm.Table(*np.unique(key, return_counts=True))
-    ids, goal, weight, text = lm.windows(table.read(key)[0], owner, 3)
+    ids, goal, weight, text = lm.windows(*table.read(key)[:2], owner, 3)
     assert weight.sum() == len(key) + 3 and len(text) > 100
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], ["rid", "text"])
     (row,) = lm._train(SimpleNamespace(value=(table, lm.start())))(iter([batch]))
     assert row["n"].to_pylist() == [len(ids)]
     # the fit is closer to all goals than the start is
     found = lm.unflat(np.array(row["model"][0].as_py()))
-    assert lm.class_scores(found, ids, goal, weight).sum() > 0.5 * lm.class_scores(lm.start(), ids, goal, weight).sum()
+    assert lm.id_scores(found, table.slots, ids, goal, weight).sum() > 0.5 * lm.id_scores(lm.start(), table.slots, ids, goal, weight).sum()
 
 
 def test_lm_adam_goes_over_each_window_once():
     rng = np.random.default_rng(1)
-    ids, goal, weight = rng.integers(0, lm.CLASSES, (70, lm.WINDOW)), rng.integers(0, lm.CLASSES, (70, lm.STRIDE)), np.ones((70, lm.STRIDE), np.float32)
-    fit = lm.Adam(lm.start(), batch=8, least_steps=1, hold=16)
+    ids, goal, weight = rng.integers(0, lm.CLASSES, (70, lm.WINDOW)), lm.SLOTS * rng.integers(0, lm.CLASSES, (70, lm.STRIDE)), np.ones((70, lm.STRIDE), np.float32)
+    fit = lm.Adam(lm.start(), np.ones(lm.CLASSES, int), batch=8, least_steps=1, hold=16)
     for at in range(0, 70, 30):
         fit.add(ids[at : at + 30], goal[at : at + 30], weight[at : at + 30])
     fit.model()
@@ -52,8 +52,8 @@ def test_lm_subwords_beyond_the_table_have_their_counts(spark, monkeypatch):
     for i, t in rows:
         data, offsets = text_bytes(pa.array([t]))
         key, owner = lm.subwords(data, offsets)
-        classes, within = model.table.read(key)
-        want = lm.class_scores(model.attention, *lm.windows(classes, owner, 1)[:3]).sum()
+        rows_read, codes, within = model.table.read(key)
+        want = lm.id_scores(model.attention, model.table.slots, *lm.windows(rows_read, codes, owner, 1)[:3]).sum()
         for k, x in zip(key.astype(np.int64).tolist(), within.tolist(), strict=True):
             if k not in kept:
                 many, times = model.table.rest[form(k)]
