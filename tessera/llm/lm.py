@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import SPACED, U64, as_long, durable, pieces, row_key, text_bytes, word_hashes
 
-PIECE, TABLE, HEAD, GATHER = 7, 1 << 17, 1 << 20, 1 << 21
+PIECE, TABLE, HEAD, GATHER = 7, 1 << 18, 1 << 20, 1 << 21
 WINDOW, STRIDE, WIDTH = 24, 16, 16
 #: Classes: shape (2 x 2) by frequency bin, spelled subwords by shape, end mark, start mark.
-BINS = 12
+BINS = 6
 SPELLED, END, START = 4 * BINS, 4 * BINS + 4, 4 * BINS + 5
 CLASSES = START + 1
 #: Subwords with an embedding of their own, and slots of a class, of which OWN hold one subword where it has more.
