@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import angles as A
 from tessera.operators import linear as L
+from tessera.operators import trees as T
 from tessera.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,17 +138,17 @@ def _(t):
 
 @query("move_axis", f"SELECT k AS axis0, id AS axis1, {G('v')} AS v FROM series")
 def _(t):
-    return t.series.select(F.col("k").alias("axis0"), F.col("id").alias("axis1"), g(F.col("v")).alias("v"))
+    return T.MoveAxis((("k", "axis0"), ("id", "axis1")))(t.series).withColumn("v", g(F.col("v")))
 
 
 @query("ravel", f"SELECT id * 64 + k AS k, {G('v')} AS v FROM series")
 def _(t):
-    return t.series.select((F.col("id") * 64 + F.col("k")).alias("k"), g(F.col("v")).alias("v"))
+    return T.Ravel("id", "k", 64)(t.series).withColumn("v", g(F.col("v")))
 
 
 @query("reshape", f"SELECT id, k // 8 AS a, k % 8 AS b, {G('v')} AS v FROM series")
 def _(t):
-    return t.series.select("id", F.expr("k div 8").alias("a"), (F.col("k") % 8).alias("b"), g(F.col("v")).alias("v"))
+    return T.Reshape("k", "a", "b", 8)(t.series).withColumn("v", g(F.col("v")))
 
 
 @query("stokes_arith", f"SELECT pix, {GC(i='i * 2 - 1', q='q + u', u='abs(u)', v='-v')} FROM sky")
@@ -586,7 +587,7 @@ def _(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import catalog_maps  # noqa: F401  registers the second half
+    from tessera.plans import catalog_maps, catalog_more  # noqa: F401  register the other parts
 
     return dict(QUERIES)
 

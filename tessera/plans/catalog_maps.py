@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import angles as A
 from tessera.operators import kernels as K
 from tessera.operators import maps as M
+from tessera.operators import streams as R
 from tessera.plans.catalog import COF, DET3, GC, SOLVE_SQL, G, cols, g, labelled, query
 from tessera.plans.catalog import LABELS as LABEL_SQL
 from tessera.sources.tables import NPIX
@@ -181,19 +182,26 @@ def _(t):
 
 # --- streams over observations, sparse matrices --------------------------------------------------------------------
 
+def _by_obs(x):
+    return x.withColumn("v", F.col("v") * (F.col("obs") + 1))
+
+
 @query("stream_diagonal", f"SELECT event_id, {G('d * (obs + 1)', 1e4)} AS v FROM tod")
 def _(t):
-    return t.tod.select("event_id", g(F.col("d") * (F.col("obs") + 1), 1e4).alias("v"))
+    op = R.StreamDiagonal(_by_obs, _by_obs)
+    return op(t.tod.select("event_id", "obs", F.col("d").alias("v"))).select("event_id", g(F.col("v"), 1e4).alias("v"))
 
 
 @query("stream_column", f"SELECT obs, p AS pix, {G('i * (obs + 1)')} AS v FROM {SKY48} CROSS JOIN (SELECT DISTINCT obs FROM tod) ORDER BY obs, pix")
 def _(t):
-    return sky48(t).crossJoin(F.broadcast(t.tod.select("obs").distinct())).select("obs", "pix", g(F.col("i") * (F.col("obs") + 1)).alias("v"))
+    op = R.StreamColumn(_by_obs, t.tod.select("obs").distinct(), _by_obs)
+    return op(sky48(t).select("pix", F.col("i").alias("v"))).select("obs", "pix", g(F.col("v")).alias("v"))
 
 
 @query("stream_row", f"SELECT pix, {G('sum(d * (obs + 1))', 1e3)} AS v FROM tod GROUP BY pix")
 def _(t):
-    return t.tod.groupBy("pix").agg(g(F.sum(F.col("d") * (F.col("obs") + 1)), 1e3).alias("v"))
+    op = R.StreamRow(lambda x: _by_obs(x).select("obs", "pix", "v"))
+    return op(t.tod.select("obs", "pix", F.col("d").alias("v"))).select("pix", g(F.col("v"), 1e3).alias("v"))
 
 
 @query("stream_addition", f"SELECT pix, {G('sum((obs + 1) * cos(2*psi))')} AS v FROM tod GROUP BY pix")
