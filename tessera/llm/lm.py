@@ -41,7 +41,7 @@ BINS = 6
 SPELLED, END, START = 4 * BINS, 4 * BINS + 4, 4 * BINS + 5
 CLASSES = START + 1
 #: Subwords with an embedding of their own, and slots of a class, of which OWN hold one subword where it has more.
-IDS, SLOTS, OWN = 2048, 64, 48
+IDS, SLOTS, OWN = 2048, 32, 24
 WORD, SUBWORD = 0, 1
 
 
@@ -191,15 +191,14 @@ def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tupl
     return z.reshape(-1, *h.shape[:2]), (x, tail, q, k, v, a, y, h)
 
 
-def by_class(goal: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(class, its slots, positions, slots there) of the goals whose class has several slots."""
+def by_class(goal: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]], np.ndarray]:
+    """Positions in the order of their goals' classes, (class, its slots, first, end) of the runs of classes with several
+    slots, and the goals' slots in that order: so that what follows works on slices."""
     kind = goal // SLOTS
     order = np.argsort(kind, kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-    for c in range(CLASSES):
-        if slots[c] > 1 and cuts[c] < cuts[c + 1]:
-            at = order[cuts[c] : cuts[c + 1]]
-            yield c, int(slots[c]), at, (goal[at] % SLOTS).astype(np.int64)
+    runs = [(c, int(slots[c]), cuts[c], cuts[c + 1]) for c in range(CLASSES) if slots[c] > 1 and cuts[c] < cuts[c + 1]]
+    return order, runs, (goal[order] % SLOTS).astype(np.int64)
 
 
 def slot_logits(m: dict[str, np.ndarray], c: int, many: int, x: np.ndarray) -> np.ndarray:
@@ -225,14 +224,17 @@ def gradients(m: dict[str, np.ndarray], slots: np.ndarray, ids: np.ndarray, goal
     state = two(h)
     g = {"out": (dz @ state).T, "bias": dz.sum(1)[None, :], "slot": np.zeros_like(m["slot"]), "slot_bias": np.zeros_like(m["slot_bias"])}
     dh = dz.T @ m["out"].T
-    for c, many, at, slot in by_class(flat_goal, slots):
-        e = np.exp(slot_logits(m, c, many, state[at]))
-        e /= e.sum(axis=0)
-        e[slot, np.arange(len(at))] -= 1
-        e *= share[at]
-        g["slot"][c, :many] = e @ state[at]
+    order, runs, slot = by_class(flat_goal, slots)
+    sorted_state, sorted_share, more, places = state[order], share[order], np.zeros_like(state), np.arange(len(order))
+    for c, many, i, j in runs:
+        x_run = sorted_state[i:j]
+        e = np.exp(slot_logits(m, c, many, x_run))
+        e *= sorted_share[i:j] / e.sum(axis=0)
+        e[slot[i:j], places[: j - i]] -= sorted_share[i:j]
+        g["slot"][c, :many] = e @ x_run
         g["slot_bias"][c, :many] = e.sum(axis=1)
-        dh[at] += e.T @ m["slot"][c, :many]
+        more[i:j] = e.T @ m["slot"][c, :many]
+    dh[order] += more
     dh = dh.reshape(h.shape)
     g["o"] = two(y).T @ two(dh)
     dy = _times(dh, m["o"].T)
@@ -329,12 +331,13 @@ def id_scores(m: dict[str, np.ndarray], slots: np.ndarray, ids: np.ndarray, goal
         z -= top
         np.exp(z, out=z)
         hit -= np.log(z.sum(axis=0)) + top
-        state, more = cache[-1].reshape(-1, WIDTH), np.zeros(now.size, hit.dtype)
-        for c, many, at, slot in by_class(now.ravel(), slots):
-            e = slot_logits(m, c, many, state[at])
-            own = e[slot, np.arange(len(at))]
+        order, runs, slot = by_class(now.ravel(), slots)
+        state, more, places = cache[-1].reshape(-1, WIDTH)[order], np.zeros(now.size, hit.dtype), np.arange(now.size)
+        for c, many, i, j in runs:
+            e = slot_logits(m, c, many, state[i:j])
+            own = e[slot[i:j], places[: j - i]]
             np.exp(e, out=e)
-            more[at] = own - np.log(e.sum(axis=0))
+            more[order[i:j]] = own - np.log(e.sum(axis=0))
         out[lo : lo + batch] = ((hit + more.reshape(hit.shape)) * weight[lo : lo + batch]).sum(axis=1, dtype=np.float64)
     return out / np.log(10)
 
