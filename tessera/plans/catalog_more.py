@@ -20,7 +20,11 @@ from tessera.sources import readers as O
 
 # --- templates -----------------------------------------------------------------------------------------------------
 
-AZ, AZ_SQL = F.sin(F.col("samp") * 0.05), "sin(samp * 0.05::DOUBLE)"
+AZ_SQL = "sin(samp * 0.05::DOUBLE)"
+
+
+def azimuth():
+    return F.sin(F.col("samp") * 0.05)
 
 
 def samples(t):
@@ -59,16 +63,16 @@ def _waves(n: int, angle: str = "psi") -> list[str]:
 
 _X16 = "((samp % 16) / 8.0 - 1)"
 template("polynomial", lambda: B.polynomial(F.when(F.col("samp") % 64 < 48, F.floor(F.col("samp") / 16)).cast("long"), (F.col("samp") % 16) / 8.0 - 1, 0, 2, 1 << 16), [(f"samp // 16 * 3 + {k}", _p(k, _X16)) for k in range(3)], scale=1237.0, where="samp % 64 < 48")
-template("scan", lambda: B.scan_synchronous(AZ, -1.0, 1.0, 1, 3), [(str(k), _p(k + 1, AZ_SQL)) for k in range(3)])
+template("scan", lambda: B.scan_synchronous(azimuth(), -1.0, 1.0, 1, 3), [(str(k), _p(k + 1, AZ_SQL)) for k in range(3)])
 template("hwp", lambda: B.hwp_synchronous(F.col("psi"), 3), [(str(k), w) for k, w in enumerate(_waves(3))])
-template("azhwp", lambda: B.azhwp_synchronous(AZ, F.col("psi"), -1.0, 1.0, 0, 1, 2), [(str(5 * k + j), f"{_p(k, AZ_SQL)} * {w}") for k in range(2) for j, w in enumerate(["1", *_waves(2)])])
-template("azhwp_scan", lambda: B.azhwp_synchronous(AZ, F.col("psi"), -1.0, 1.0, 1, 1, 1, scan=F.col("samp") % 10 < 7), [(str(j), f"{AZ_SQL} * {w}") for j, w in enumerate(["1", *_waves(1)])], where="samp % 10 < 7")
-template("binaz", lambda: B.binaz_synchronous(AZ, -1.0, 1.0, 4), [(f"floor(({AZ_SQL} + 1) / (2 + 1e-8) * 4)", "1")])
+template("azhwp", lambda: B.azhwp_synchronous(azimuth(), F.col("psi"), -1.0, 1.0, 0, 1, 2), [(str(5 * k + j), f"{_p(k, AZ_SQL)} * {w}") for k in range(2) for j, w in enumerate(["1", *_waves(2)])])
+template("azhwp_scan", lambda: B.azhwp_synchronous(azimuth(), F.col("psi"), -1.0, 1.0, 1, 1, 1, scan=F.col("samp") % 10 < 7), [(str(j), f"{AZ_SQL} * {w}") for j, w in enumerate(["1", *_waves(1)])], where="samp % 10 < 7")
+template("binaz", lambda: B.binaz_synchronous(azimuth(), -1.0, 1.0, 4), [(f"floor(({AZ_SQL} + 1) / (2 + 1e-8) * 4)", "1")])
 _U4 = f"greatest(0, least(3, ({AZ_SQL} + 1) / 2 * 4 - 0.5))"
-template("binaz_hats", lambda: B.binaz_synchronous(AZ, -1.0, 1.0, 4, interpolate=True), [(str(b), f"greatest(0, 1 - abs({_U4} - {b}))") for b in range(4)])
+template("binaz_hats", lambda: B.binaz_synchronous(azimuth(), -1.0, 1.0, 4, interpolate=True), [(str(b), f"greatest(0, 1 - abs({_U4} - {b}))") for b in range(4)])
 _S4 = [f"pow(sin(greatest(0, 1 - abs({_U4} - {b})) * {A.PI / 2!r}::DOUBLE), 2)" for b in range(4)]
-template("binaz_smooth", lambda: B.binaz_synchronous(AZ, -1.0, 1.0, 4, interpolate=True, smooth=True), [(str(b), f"{w} / ({' + '.join(_S4)})") for b, w in enumerate(_S4)])
-template("binazhwp", lambda: B.binazhwp_synchronous(AZ, F.col("psi"), -1.0, 1.0, 3, 1), [(f"floor(({AZ_SQL} + 1) / (2 + 1e-8) * 3) * 3 + {j}", w) for j, w in enumerate(["1", *_waves(1)])])
+template("binaz_smooth", lambda: B.binaz_synchronous(azimuth(), -1.0, 1.0, 4, interpolate=True, smooth=True), [(str(b), f"{w} / ({' + '.join(_S4)})") for b, w in enumerate(_S4)])
+template("binazhwp", lambda: B.binazhwp_synchronous(azimuth(), F.col("psi"), -1.0, 1.0, 3, 1), [(f"floor(({AZ_SQL} + 1) / (2 + 1e-8) * 3) * 3 + {j}", w) for j, w in enumerate(["1", *_waves(1)])])
 template("temperature", lambda: B.temperature(F.cos(F.col("t") * 0.01), q=4), [("0", "CASE WHEN samp % 4 = 0 THEN cos(t * 0.01::DOUBLE) ELSE 0 END")])
 _OFF = "floor(samp / 100000.0 * 63)"
 template("spline_hwpss", lambda: B.bspline_hwpss(F.col("samp"), 0.0, 100000.0, 64, F.col("psi"), (4,)), [(f"({_OFF} + {o}) * 2 + {j}", f"({_bspline_sql(f'(samp / 100000.0 * 63 - {_OFF} + {3 - o})')}) * {f}(psi * 4)") for o in range(4) for j, f in enumerate(("sin", "cos"))], where="d = d")
@@ -85,7 +89,7 @@ _GROUND = f"(SELECT event_id, d, psi AS chi, ((floor(({_GE} - 0.2) / 0.1 + 0.0):
 
 def ground_samples(t):
     land = N.Horizon(n_az=16, n_alt=8, low=0.2, high=1.0)
-    az, el = (AZ + 1) * 3, F.abs(F.cos(F.col("samp") * 0.01)) * 0.3 + 0.4
+    az, el = (azimuth() + 1) * 3, F.abs(F.cos(F.col("samp") * 0.01)) * 0.3 + 0.4
     low = F.floor((el - 0.2) / 0.1).cast("long") + F.pmod(F.rint(az / (2 * A.PI / 16)).cast("long"), F.lit(16)) * 8
     return t.tod.select("event_id", F.col("psi").alias("chi"), F.col("d").alias("v"), low.alias("ground")), land
 

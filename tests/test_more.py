@@ -205,3 +205,12 @@ def test_intervals(spark):
     x = spark.createDataFrame([(0, s) for s in range(10)], "det long, samp long")
     marks = spark.createDataFrame([(0, 2, 4, 0), (0, 6, 9, 1)], "det long, start long, end long, interval long")
     assert [r.interval for r in O.intervals_of(x, marks).orderBy("samp").collect()] == [None, None, 0, 0, None, None, 1, 1, 1, None]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
