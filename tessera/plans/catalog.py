@@ -288,17 +288,6 @@ def dense(t, swap: bool = False) -> L.Matrix:
 
 for _name, _r, _c in (("dense_block_diagonal", "r", "c"), ("dense_block_diagonal_transpose", "c", "r")):
 
-    @query(_name, f"SELECT id, {_r} AS k, {G('sum(cos(r * 1.0 + c * 2.0) * v)')} AS v FROM series JOIN (SELECT r, c FROM range(8) a(r), range(8) b(c)) ON k = {_c} WHERE k < 8 GROUP BY 1, 2")
-    def _(t, flip=_r == "c"):
-        op = dense(t)
-        x = t.series.where("k < 8").withColumnRenamed("k", "row" if flip else "col")
-        op = L.Matrix(op.table, "row", "col") if not flip else L.Matrix(op.table, "col", "row")
-        out = op.table.join(x, op.col).groupBy("id", F.col(op.row).alias("k")).agg(F.sum(F.col("val") * F.col("v")).alias("v"))
-        return out.select("id", "k", g(F.col("v")).alias("v"))
-
-
-for _name, _r, _c in (("dense_block_diagonal_whole", "r", "c"), ("dense_block_diagonal_transpose_whole", "c", "r")):
-
     @query(_name, f"SELECT id, (k // 8) * 8 + {_r} AS k, {G('sum(cos(r * 1.0 + c * 2.0) * v)')} AS v FROM series JOIN (SELECT r, c FROM range(8) a(r), range(8) b(c)) ON k % 8 = {_c} GROUP BY 1, 2")
     def _(t, flip=_r == "c"):
         op = L.Matrix(dense(t).table, *(("col", "row") if flip else ("row", "col")))
@@ -334,15 +323,7 @@ def _(t):
     return labelled(t).groupBy("k").agg(g(F.sum(F.col("v") * (F.col("vec_id") % 7))).alias("v"))
 
 
-@query("tree_matmat", f"SELECT a.k AS i, b.k AS j, {G('sum(a.v * b.v)', 1e5)} AS v FROM ({LABELS}) a JOIN ({LABELS}) b USING (vec_id) WHERE a.k < 4 AND b.k < 4 GROUP BY 1, 2")
-def _(t):
-    e = t.read("embeddings").select(*[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(4)])
-    sums = e.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(4) for j in range(4)])
-    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(f"s{i}{j}").alias("v")) for i in range(4) for j in range(4)])
-    return sums.select(F.explode(cells).alias("c")).select("c.i", "c.j", g(F.col("c.v"), 1e5).alias("v"))
-
-
-@query("tree_matmat_whole", f"SELECT a.k AS i, b.k AS j, {G('sum(a.v * b.v)', 1e5)} AS v FROM ({LABELS}) a JOIN ({LABELS}) b USING (vec_id) GROUP BY 1, 2")
+@query("tree_matmat", f"SELECT a.k AS i, b.k AS j, {G('sum(a.v * b.v)', 1e5)} AS v FROM ({LABELS}) a JOIN ({LABELS}) b USING (vec_id) GROUP BY 1, 2")
 def _(t):
     e = t.read("embeddings").select("embedding", F.posexplode("embedding").alias("i", "a")).select("i", "a", F.posexplode("embedding").alias("j", "b"))
     sums = e.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("v"))
@@ -396,9 +377,9 @@ def _(t):
     return t.tod.groupBy("det", F.expr("samp div 4").alias("samp")).agg(g(F.avg("d"), 1e4).alias("v"))
 
 
-@query("dft_filter_n64", f"SELECT id, f, {GC(1e5, re='sum(v * cos(2 * pi() * f * k / 64))', im='-sum(v * sin(2 * pi() * f * k / 64))')} FROM series CROSS JOIN (SELECT unnest(range(0, 5))::BIGINT AS f) GROUP BY id, f")
+@query("dft_filter_n64", f"SELECT id, f, {GC(1e5, re='sum(v * cos(2 * pi() * f * k / 64))', im='-sum(v * sin(2 * pi() * f * k / 64))')} FROM series CROSS JOIN (SELECT unnest(range(0, 33))::BIGINT AS f) GROUP BY id, f")
 def _(t):
-    f = t.spark.range(5).select(F.col("id").alias("f"))
+    f = t.spark.range(33).select(F.col("id").alias("f"))
     x = t.series.crossJoin(F.broadcast(f)).withColumn("w", F.col("f") * F.col("k") * (2 * A.PI / 64))
     return x.groupBy("id", "f").agg(*cols(1e5, re=F.sum(F.col("v") * F.cos("w")), im=-F.sum(F.col("v") * F.sin("w"))))
 
@@ -412,8 +393,8 @@ def _(t):
 @query("scan_interval_mask", "SELECT det, samp, EXISTS (SELECT 1 FROM (VALUES (5, 20), (30, 45)) AS i(a, b) WHERE samp >= a AND samp < b) AS scan FROM tod")
 def _(t):
     spans = t.spark.sql("SELECT * FROM VALUES (5, 20), (30, 45) AS i(a, b)")
-    hit = t.tod.join(F.broadcast(spans), (F.col("samp") >= F.col("a")) & (F.col("samp") < F.col("b")), "left_semi").select("det", "samp", F.lit(True).alias("hit"))
-    return t.tod.select("det", "samp").join(hit, ["det", "samp"], "left").select("det", "samp", F.coalesce("hit", F.lit(False)).alias("scan"))
+    inside = (F.col("samp") >= F.col("a")) & (F.col("samp") < F.col("b"))
+    return t.tod.join(F.broadcast(spans), inside, "left").select("det", "samp", F.col("a").isNotNull().alias("scan"))
 
 
 # --- spectra and components ----------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import angles as A
+from tessera.functions import landscapes as P
 from tessera.operators import kernels as K
 from tessera.operators import maps as M
 from tessera.operators import streams as R
@@ -28,7 +29,7 @@ def sky48(t):
 
 @query("pointing_forward", f"SELECT event_id, {G('(i + cos(2*psi)*q + sin(2*psi)*u) / 2')} AS v FROM tod JOIN {SKY48} ON p = pix")
 def _(t):
-    seen = t.tod.join(F.broadcast(sky48(t)), "pix")
+    seen = t.tod.join(sky48(t), "pix")
     q, _u = A.rotate_qu(F.col("q"), F.col("u"), F.col("psi"))
     return seen.select("event_id", g(A.polarizer(F.col("i"), q)).alias("v"))
 
@@ -79,30 +80,29 @@ LOCAL = "(SELECT pix AS p, row_number() OVER (ORDER BY pix) - 1 AS k FROM (SELEC
 
 
 def local(t):
-    """(pix, k): the listed pixels and their local numbers; the list is at most NPIX rows."""
-    return t.tod.where("pix % 3 = 0").select("pix").distinct().withColumn("k", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pix")) - 1).cast("long"))
+    """(pix, k): the listed pixels and their local numbers."""
+    return P.local_pixels(t.tod.where("pix % 3 = 0").select("pix"), NPIX).withColumnRenamed("local", "k")
 
 
 @query("local_landscape_global2local", f"SELECT event_id, coalesce(k, (SELECT count(*) FROM {LOCAL}))::BIGINT AS k FROM tod LEFT JOIN {LOCAL} ON p = pix WHERE pix >= 0")
 def _(t):
-    here = local(t)
-    sink = here.agg(F.count("*").alias("sink"))
-    return t.tod.select("event_id", "pix").join(F.broadcast(here), "pix", "left").crossJoin(F.broadcast(sink)).select("event_id", F.coalesce("k", "sink").alias("k"))
+    here = local(t).withColumnRenamed("k", "local")
+    return P.global2local(here, t.tod.select("event_id", "pix")).select("event_id", F.col("local").alias("k"))
 
 
 @query("local_restrict", f"SELECT k::BIGINT AS k, {G('i')} AS i FROM {SKY48} s JOIN (SELECT * FROM {LOCAL} JOIN (SELECT count(*) c FROM tod) ON true) l ON l.p = s.p")
 def _(t):
-    return sky48(t).join(F.broadcast(local(t)), "pix").select("k", g(F.col("i")).alias("i"))
+    return sky48(t).join(local(t), "pix").select("k", g(F.col("i")).alias("i"))
 
 
 @query("local_promote", f"SELECT s.p AS pix, {G('CASE WHEN l.p IS NULL THEN -1 ELSE k * 0.5 END')} AS v FROM {SKY48} s LEFT JOIN (SELECT * FROM {LOCAL} JOIN (SELECT count(*) c FROM tod) ON true) l ON l.p = s.p")
 def _(t):
-    return sky48(t).select("pix").join(F.broadcast(local(t)), "pix", "left").select("pix", g(F.coalesce(F.col("k") * 0.5, F.lit(-1.0))).alias("v"))
+    return sky48(t).select("pix").join(local(t), "pix", "left").select("pix", g(F.coalesce(F.col("k") * 0.5, F.lit(-1.0))).alias("v"))
 
 
 @query("local_sink_counts", "SELECT pix % 3 = 0 AS listed, count(*)::BIGINT AS n FROM tod GROUP BY 1")
 def _(t):
-    seen = t.tod.join(F.broadcast(local(t)), "pix", "left")
+    seen = t.tod.join(local(t), "pix", "left")
     return seen.groupBy(F.col("k").isNotNull().alias("listed")).agg(F.count("*").alias("n"))
 
 
@@ -331,11 +331,11 @@ def _(t):
     return t.read("nation").select("n_name", F.conv(F.right(F.sha1(F.col("n_name").cast("binary")), F.lit(8)), 16, 10).cast("long").bitwiseAND(2147483647).alias("uid"))
 
 
-@query("low_rank_apply", f"SELECT vec_id, {G('0.5 * a * c0 + 0.25 * b * c1', 1e4)} AS v FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) CROSS JOIN (SELECT sum(embedding[1]::DOUBLE * label) AS c0, sum(embedding[2]::DOUBLE * label) AS c1 FROM embeddings)")
+@query("low_rank_apply", f"SELECT vec_id, {G('sum(v * c / (k + 2))', 1e2)} AS v FROM ({LABEL_SQL}) AS x JOIN (SELECT k AS k2, sum(v * label) AS c FROM ({LABEL_SQL}) AS y GROUP BY 1) AS z ON k = k2 GROUP BY vec_id")
 def _(t):
-    u = t.read("embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
-    c = u.agg(F.sum(F.col("a") * F.col("label")).alias("c0"), F.sum(F.col("b") * F.col("label")).alias("c1"))
-    return u.crossJoin(F.broadcast(c)).select("vec_id", g(F.col("a") * F.col("c0") * 0.5 + F.col("b") * F.col("c1") * 0.25, 1e4).alias("v"))
+    x = labelled(t)
+    c = x.groupBy("k").agg(F.sum(F.col("v") * F.col("label")).alias("c"))
+    return x.join(c, "k").groupBy("vec_id").agg(g(F.sum(F.col("v") * F.col("c") / (F.col("k") + 2)), 1e2).alias("v"))
 
 
 @query("topk_which", "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 10")
@@ -343,16 +343,7 @@ def _(t):
     return t.read("customer").select("c_custkey", "c_acctbal").orderBy(F.abs("c_acctbal").desc(), "c_custkey").limit(10)
 
 
-@query("cg_diagonal", f"SELECT k, {G('b / (k + 1)')} AS v FROM (SELECT unnest(range(0, 5))::BIGINT AS k, 1.0::DOUBLE AS b)")
-def _(t):
-    from tessera.operators.linear import Diagonal, Inverse
-
-    axis = t.spark.range(5).select(F.col("id").alias("k"))
-    op = Diagonal(F.broadcast(axis.select("k", (F.col("k") + 1.0).alias("d"))), ("k",))
-    return Inverse(op).apply(axis.withColumn("v", F.lit(1.0))).select("k", g(F.col("v")).alias("v"))
-
-
-@query("cg_diagonal_whole", f"SELECT k, {G('v / (k % 5 + 1)', 1e4)} AS v FROM vec")
+@query("cg_diagonal", f"SELECT k, {G('v / (k % 5 + 1)', 1e4)} AS v FROM vec")
 def _(t):
     from tessera.operators.linear import Diagonal, Inverse
 
@@ -411,14 +402,21 @@ def _map_rows(t, x):
 def _(t):
     from tessera.operators.linear import Toeplitz
 
-    return _map_rows(t, M.iterative(t.tod, NPIX, Toeplitz((1.0, -0.2, 0.05)).apply, steps=12, rtol=1e-5)[0])
+    return _map_rows(t, M.iterative(t.tod, NPIX, Toeplitz((1.0, -0.2, 0.05)).apply).maps)
 
 
 @query("atop_map")
 def _(t):
     from tessera.operators.linear import IntervalProjection
 
-    return _map_rows(t, M.iterative(t.tod, NPIX, IntervalProjection(7).apply, steps=12, rtol=1e-5)[0])
+    return _map_rows(t, M.iterative(t.tod, NPIX, IntervalProjection(7).apply).maps)
+
+
+@query("two_step_map")
+def _(t):
+    from tessera.operators.solvers import Config
+
+    return M.two_step(t.tod, Config(rtol=1e-7, atol=0.0))[1].select("pix", "hits", "i", "q", "u")
 
 
 @query("mueller_stack")

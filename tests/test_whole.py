@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 def test_whole_queries_have_every_row(spark):
     t, run = Tables(spark, SF), catalog.queries()
     series, vec = t.series.count(), t.vec.count()
-    for name in ("dense_block_diagonal_whole", "dense_block_diagonal_transpose_whole"):
+    for name in ("dense_block_diagonal", "dense_block_diagonal_transpose"):
         out = run[name](spark, SF)
         assert out.count() == series and out.agg(F.countDistinct("k")).first()[0] == 64
-    assert run["tree_matmat_whole"](spark, SF).count() == 64 * 64
-    assert run["cg_diagonal_whole"](spark, SF).count() == vec
+    assert run["tree_matmat"](spark, SF).count() == 64 * 64
+    assert run["cg_diagonal"](spark, SF).count() == vec
