@@ -15,8 +15,10 @@ all texts hold (the lines that every page has) are left out of the segments of a
    the sets in a common order (most frequent member first, so that paths are shared). Breadth-first from each set, the
    trie is walked with running overlaps; a subtree is left when what remains cannot reach the threshold or when all its
    sets are already linked. Overlaps are exact, so links are exactly those of the definition.
-4. A candidate component of more than `block` nodes (or MEMBERS times as many shingles) is cut into blocks and each pair of blocks becomes a group of its
-   own; links of all pairs are then joined to components. No group is unbounded and no pair is lost.
+4. A candidate component of more than `block` nodes (or MEMBERS times as many shingles) is split by candidates of its own
+   (`refined`), then cut into blocks in the order of sizes; each pair of blocks whose sizes allow links becomes a group of
+   its own, ROUND block distances at a time; links of all pairs are then joined to components. No group is unbounded, no
+   pair is lost, and no text is copied more than 2 * ROUND times at once.
 
 Null and empty texts have the empty set, which links with nothing. Repeated rows share their node. Extra columns of the
 input are ignored.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -48,6 +50,8 @@ SKETCH, EDGE = 512, 48
 SHARES = 4
 #: Members of a set on average at which a block is full.
 MEMBERS = 300
+#: Differences of block numbers that are compared at a time.
+ROUND = 4
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +117,9 @@ class Segments:
             spare = min(max(3, math.ceil(2 + empty + 3 * empty**0.5)), 3 + differ // 2)
         return spare
 
-    def publish(self, h: np.ndarray, ends: np.ndarray, nodes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segment hashes and their nodes; members in `common` (sorted) are left out of the segments."""
+    def publish(self, h: np.ndarray, ends: np.ndarray, nodes: np.ndarray, common: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Segment hashes and their nodes; members in `common` (sorted) are left out of the segments. Sets of different
+        `parts` share no hash."""
         sizes = np.diff(ends)
         if len(common) and len(h):
             rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
@@ -142,7 +147,7 @@ class Segments:
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(token + salt(9)), dtype=U64)])
             stop = np.append(start[1:], len(token))[: len(start)]
             who, segment = d[start], seg[start]
-            tag = mix(classes[docs].astype(U64) * salt(10) + salt(11))
+            tag = mix(classes[docs].astype(U64) * salt(10) + salt(11) + (0 if parts is None else mix(parts[docs])))
             keys.append(mix(sums[stop] - sums[start] + mix(tag[who] + segment * salt(12))))
             whose.append(nodes[docs][who])
             filled = np.bincount(who, minlength=len(docs))
@@ -341,10 +346,46 @@ def common_shingles(docs: DataFrame, n: int, share: float = 0.002, text_col: str
     return np.sort(kept.astype(np.int64).view(U64))
 
 
-def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between nodes that share two segments; every pair that reaches the threshold is connected by them."""
+def frequent_shingles(texts: DataFrame, n: int, least: int, most: int = 1 << 22) -> np.ndarray:
+    """Hashes of the shingles that `least` of the texts or more hold; the count is raised until they are `most` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def out() -> pa.RecordBatch:
+            h, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(count)], ["h", "n"])
+
+        for batch in pieces(batches, "text", 1 << 20):
+            held.append(shingle_sets(batch.column("text"), n)[0])
+            if sum(map(len, held)) >= 4 * GATHER:
+                yield out()
+                held = []
+        if held:
+            yield out()
+        release()
+
+    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = durable(counts, "frequent")
+    levels = sorted(((r.level, r.many) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("many")).collect()), reverse=True)
+    total, low = 0, least
+    for level, many in levels:
+        total += many
+        if total > most:
+            low = 1 << (level + 1)
+            break
+    kept = counts.where(F.col("n") >= low).select("h").toArrow()["h"].to_numpy()
+    return np.sort(kept.astype(np.int64).view(U64))
+
+
+def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text", common: np.ndarray | None = None, part: str | None = None) -> DataFrame:
+    """Edges (a, b) between nodes that share two segments; every pair that reaches the threshold is connected by them.
+
+    `common`: hashes of members that segments leave out, else those of `common_shingles`. `part`: a column (long); texts
+    of different parts are not compared.
+    """
     segments = Segments(percent)
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n, text_col=text_col))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n, text_col=text_col) if common is None else common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, whose, held = [], [], 0
@@ -355,7 +396,8 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
 
         for batch in pieces(batches, "__text", 1 << 20):
             h, ends = shingle_sets(batch.column("__text"), n)
-            k, w = segments.publish(h, ends, set_nodes(h, ends), common.value)
+            of = np.asarray(batch.column("__part")).view(U64) if part else None
+            k, w = segments.publish(h, ends, set_nodes(h, ends), common.value, of)
             keys.append(k)
             whose.append(w)
             held += len(k)
@@ -366,7 +408,7 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
             yield out()
         release()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "key long, node long, many boolean")
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *([F.col(part).alias("__part")] if part else [])).mapInArrow(run, "key long, node long, many boolean")
     # dealt out first: tasks have counted already, and sets built next to the Python workers would take memory twice
     # and in many parts: few rows of each task are sorted in memory at a time
     parts = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -378,6 +420,33 @@ def candidates(docs: DataFrame, n: int, percent: int, text_col: str = "text") ->
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
 
 
+def refined(moved: DataFrame, parts: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root, size), the components of `large` split by candidates that leave out what many of their own sets hold.
+
+    Candidates of the whole corpus are tied together by segments that are a star each. The more texts there are, the more
+    segments of one or two widespread shingles are stars, so chance components grow faster than the input. Every pair that
+    reaches the threshold is connected by these candidates too, so what they part has no link.
+    """
+    inside = durable(moved.join(large, "root").select("node", "root", "text"), "inside")
+    again = components(candidates(inside, n, percent, common=frequent_shingles(inside, n, 2 * FEW), part="root"))
+    kept = parts.join(large, "root", "left_anti").select("node", "root", "size")
+    return durable(kept.union(again.join(parts.select("node", "size"), "node").select("node", "root", "size")), "refined")
+
+
+def blocked(parts: DataFrame, cost: Column, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root, block) and (root, i, j): blocks of sets in the order of their sizes, of about cost 1 each, and the
+    pairs of blocks, one with itself included, whose sizes allow links."""
+    level = parts.groupBy("root", "size").agg(F.count("*").alias("many"), F.min(cost).alias("cost"))
+    before = Window.partitionBy("root").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    level = level.withColumn("start", F.coalesce(F.sum(F.col("many") * F.col("cost")).over(before), F.lit(0.0)))
+    place = F.floor(F.col("start") + F.pmod(F.xxhash64("node"), F.col("many")) * F.col("cost")).cast("int")
+    chosen = durable(parts.join(level, ["root", "size"]).select("node", "root", "size", place.alias("block")), "blocks")
+    spans = chosen.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    i, j = spans.select("root", F.col("block").alias("i"), "high"), spans.select("root", F.col("block").alias("j"), "low")
+    fit = (F.col("i") <= F.col("j")) & (F.col("low") * percent <= F.col("high") * 100)
+    return chosen, i.join(j, "root").where(fit).select("root", "i", "j")
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
     """(rid, id, n_shingles long, component_id, class) of every row; component_id is the smallest id linked, itself included.
 
@@ -388,17 +457,25 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     chance = components(candidates(docs, n, percent, text_col))
     chance = durable(chance, "candidates")
     first = all_nodes.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("size"))
-    chance = chance.join(first, "node")
-    sizes = chance.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("members"))
-    cut = F.ceil(F.greatest(F.col("sets") / block, F.col("members") / (block * MEMBERS))).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    chosen = chance.join(sizes, "root").withColumn("blocks", cut).withColumn("mine", mine)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
     texts = docs.select(row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    moved = texts.join(chosen.select("rid", "node", "root", pairs.alias("pairs")).hint("shuffle_hash"), "rid")
-    groups = moved.select(F.explode("pairs").alias("p"), "node", "root", "text").select(F.xxhash64("root", "p.i", "p.j").alias("g"), "node", "text")
-    links = groups.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_verify(n, percent), "a long, b long")
-    links = durable(links, "links")
+    # one text for each set that has candidates; what follows reads these only
+    moved = durable(texts.join(chance.join(first, "node").hint("shuffle_hash"), "rid").select("node", "root", "size", "text"), "moved")
+    parts = moved.select("node", "root", "size").distinct()
+    cost = F.greatest(F.lit(1.0 / block), F.col("size") / (block * MEMBERS))
+    large = parts.groupBy("root").agg(F.sum(cost).alias("cost")).where("cost > 1").select("root")
+    if large.head(1):
+        parts = refined(moved, parts, large, n, percent)
+    chosen, pairs = blocked(parts, cost, percent)
+    found, reach = None, 0
+    most = pairs.agg(F.max(F.col("j") - F.col("i"))).first()[0] or 0
+    while reach <= most:  # so many pairs of blocks at a time that no text is there more than 2 * ROUND times at once
+        now = pairs.where((F.col("j") - F.col("i")).between(reach, reach + ROUND - 1)).withColumn("g", F.xxhash64("root", "i", "j"))
+        ends = now.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "g")
+        groups = moved.select("node", "text").join(chosen.join(ends, ["root", "block"]).select("node", "g").hint("shuffle_hash"), "node").select("g", "node", "text")
+        links = durable(groups.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_verify(n, percent), "a long, b long"), "links")
+        found = links if found is None else found.union(links)
+        reach += ROUND
+    links = found
     roots = components(links)
     lowest = all_nodes.groupBy("node").agg(F.min(id_col).alias("low"))
     named = roots.join(lowest, "node").groupBy("root").agg(F.min("low").alias("low"))
