@@ -30,6 +30,10 @@ class Basis:
     def design(self) -> Column:
         raise NotImplementedError
 
+    def group(self) -> tuple[Column | None, int]:
+        """A number g of the sample, and n: its amplitudes lie in [g * n, g * n + n). No number: they may be any of n."""
+        return None, self.size
+
     def expand(self, amplitudes: Column) -> Column:
         """The sample's value, from a map of amplitudes by number; those missing are zero."""
         return F.aggregate(self.design(), F.lit(0.0), lambda s, c: s + c["x"] * F.coalesce(F.try_element_at(amplitudes, c["b"]), F.lit(0.0)))
@@ -70,6 +74,10 @@ class KroneckerBasis(Basis):
     def size(self) -> int:
         return self.first.size * self.then.size
 
+    def group(self) -> tuple[Column | None, int]:
+        number, n = self.first.group()
+        return number, n * self.then.size
+
     def design(self) -> Column:
         n = self.then.size
         return F.flatten(F.transform(self.first.design(), lambda p: F.transform(self.then.design(), lambda q: _row(p["b"] * n + q["b"], p["x"] * q["x"]))))
@@ -87,6 +95,9 @@ class SegmentedBasis(Basis):
     def size(self) -> int:
         return self.segments * self.inner.size
 
+    def group(self) -> tuple[Column | None, int]:
+        return F.when((self.segment >= 0) & (self.segment < self.segments), self.segment).cast("long"), self.inner.size
+
     def design(self) -> Column:
         rows = F.transform(self.inner.design(), lambda c: _row(self.segment * self.inner.size + c["b"], c["x"]))
         return F.when((self.segment >= 0) & (self.segment < self.segments), rows).otherwise(F.array().cast(DESIGN))
@@ -124,6 +135,9 @@ class MaskedBasis(Basis):
     def size(self) -> int:
         return self.inner.size
 
+    def group(self) -> tuple[Column | None, int]:
+        return self.inner.group()
+
     def design(self) -> Column:
         return F.when(self.condition, self.inner.design()).otherwise(F.array().cast(DESIGN))
 
@@ -137,9 +151,21 @@ class Template(Operator):
     by: tuple[str, ...] = ("det",)
 
     def apply(self, x):
-        packed = x.groupBy(*self.by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").cast("long"), "v"))).alias("__a"))
-        # at most one row for each detector, of no more than basis.size numbers
-        return self.samples.drop("v").join(packed, list(self.by), "left").withColumn("v", F.coalesce(self.basis.expand(F.col("__a")), F.lit(0.0))).drop("__a")
+        number, n = self.basis.group()
+        by, samples, part = list(self.by), self.samples.drop("v"), []
+        if number is not None:  # a sample meets the amplitudes of its own segment only
+            by, samples, part = [*by, "__g"], samples.withColumn("__g", number), [F.floor(F.col("b") / n).cast("long").alias("__g")]
+        packed = x.groupBy(*self.by, *part).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b").cast("long"), "v"))).alias("__a"))
+        # at most one row for each detector and segment, of no more than n numbers
+        return samples.join(packed, by, "left").withColumn("v", F.coalesce(self.basis.expand(F.col("__a")), F.lit(0.0))).drop("__a", "__g")
+
+    def reached(self) -> DataFrame:
+        """(by..., b): all amplitudes of the segments that samples lie in; those of other segments change no sample."""
+        number, n = self.basis.group()
+        inner = F.broadcast(self.samples.sparkSession.range(n).withColumnRenamed("id", "b"))
+        if number is None:
+            return self.samples.select(*self.by).distinct().crossJoin(inner)
+        return self.samples.select(*self.by, number.alias("__g")).where("__g IS NOT NULL").distinct().crossJoin(inner).select(*self.by, (F.col("__g") * n + F.col("b")).alias("b"))
 
     def transpose(self):
         return TemplateTranspose(self)

@@ -49,8 +49,8 @@ def template(name: str, basis, rows: list[tuple[str, str]], scale: float = 1e3,
     @query(f"template_{name}_expand", expand)
     def _(t):
         x = samples(t)
-        known = x.select("det").distinct().crossJoin(F.broadcast(t.spark.range(basis().size).select(F.col("id").alias("b"))))
-        return B.Template(basis(), x)(known.withColumn("v", amplitude(F.col("det"), F.col("b")))).select("det", "samp", g(F.col("v"), scale).alias("v"))
+        out = B.Template(basis(), x)
+        return out(out.reached().withColumn("v", amplitude(F.col("det"), F.col("b")))).select("det", "samp", g(F.col("v"), scale).alias("v"))
 
 
 def _p(k: int, x: str) -> str:
