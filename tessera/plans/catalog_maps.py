@@ -379,7 +379,22 @@ per_vector("welch_psd", lambda x, i: K.welch(x, 1.0, 32)[1])
 per_vector("gap_fill", lambda x, i: K.gap_fill(x, _GOOD, np.array([1.0, 0.3]), i))
 per_vector("nested_weight", lambda x, i: K.nested_weight(x, _GOOD, np.array([1.0, 0.3])))
 per_vector("banded_cholesky", lambda x, i: K.banded_solve(K.banded_cholesky(np.stack([np.full(64, 4.0), np.ones(64)])), x))
-per_vector("noise_fit_whittle", lambda x, i: K.fit_noise(*K.welch(x, 1.0, 32)))
+
+
+@query("noise_fit_whittle")
+def _(t):
+    def run(batches):
+        for b in batches:
+            found = [[np.nan] * 3] * len(b)
+            sizes = b["embedding"].map(len).to_numpy()
+            for n in np.unique(sizes[sizes > 0]):  # series of one length side by side
+                at = np.flatnonzero(sizes == n)
+                fits = np.round(K.fit_noises(*K.welch(np.stack([np.asarray(b["embedding"].iloc[k], float) for k in at]), 1.0, 32)), 9)
+                for k, fit in zip(at.tolist(), fits.tolist(), strict=True):
+                    found[k] = fit
+            yield pd.DataFrame({"id": b["vec_id"], "v": found})
+
+    return t.read("embeddings").select("vec_id", "embedding").where("embedding is not null").mapInPandas(run, "id long, v array<double>")
 
 
 @query("lanczos")
